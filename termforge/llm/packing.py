@@ -94,7 +94,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, windows: i
     grouped = sizes.withColumn("grp", F.pmod(F.xxhash64("id", "size", F.monotonically_increasing_id()), F.lit(number)))
     schema = pa.schema([("container", pa.int64()), (id_col, pa.int64()), ("start", pa.int64()), (size_col, pa.int64())])
 
-    def run(_, table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         ids, size = (table.column(c).to_numpy() for c in ("id", "size"))
         order = np.lexsort((ids, size))
         ids, size = ids[order], size[order]
