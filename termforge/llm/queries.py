@@ -3,11 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from termforge.llm import packing, splitting, tokenizer
+from termforge.llm import distinctive, packing, splitting, suffix_counts, tokenizer
+from termforge.plans.problems import LIVE_SQL
 from termforge.session import durable, table
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "postings"), table(spark, sf_dir, "tombstones")
+
+
+def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.distinctive_words(*_index(spark, sf_dir)).select("rid", "word", "score").orderBy("rid", F.col("score").desc(), "word")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = distinctive.distinctive_words(*_index(spark, sf_dir), min_freq=4)
+    share = F.col("freq") * F.col("all_mentions") >= F.col("length") * F.col("mentions") * 100
+    return scored.where((F.col("degree") > 0) | (F.col("freq") == F.col("length"))).where((F.col("reviews") >= 2) & share).select("rid", "word")
+
+
+def p5_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return suffix_counts.marked_words(suffix_counts.word_counts(*index), suffix_counts.live_reviews(*index))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_marks(spark, sf_dir).where("mark IS NOT NULL").select("word", "mark")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
@@ -22,8 +47,13 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p7_ids": p7_ids, "p8_containers": p8_containers, "p9_pieces": p9_pieces}
+    return {"p1_found": p1_found, "p1_scores": p1_scores, "p5_found": p5_found, "p5_marks": p5_marks, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_pieces": p9_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    counts = f"WITH {LIVE_SQL}, n AS (SELECT count(DISTINCT rid) AS n FROM live), c AS (SELECT word, CAST(count(*) AS BIGINT) AS reviews, CAST(sum(freq) AS BIGINT) AS mentions FROM live GROUP BY word), marked AS (SELECT word, mentions, reviews, CASE WHEN reviews <= 2 THEN 'rare' WHEN reviews >= 0.2 * (SELECT n FROM n) THEN 'common' END AS mark FROM c)"
+    return {
+        "p1_found": f"WITH {LIVE_SQL}, l AS (SELECT rid, sum(freq) AS length FROM live GROUP BY rid), c AS (SELECT word, count(*) AS reviews, sum(freq) AS mentions FROM live GROUP BY word) SELECT rid, word FROM live JOIN l USING (rid) JOIN c USING (word) WHERE freq >= 4 AND reviews >= 2 AND freq * (SELECT sum(freq) FROM live) >= 100 * length * mentions",
+        "p5_marks": counts + " SELECT word, mentions, reviews, mark FROM marked",
+        "p5_found": counts + " SELECT word, mark FROM marked WHERE mark IS NOT NULL",
+    }
