@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import distinctive, packing, splitting, suffix_counts, tokenizer
+from termforge.llm import distinctive, format_duplicates, near_duplicates, packing, splitting, suffix_counts, tokenizer
 from termforge.plans.problems import LIVE_SQL
 from termforge.session import durable, table
 
@@ -24,6 +24,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where((F.col("degree") > 0) | (F.col("freq") == F.col("length"))).where((F.col("reviews") >= 2) & share).select("rid", "word")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_duplicates.copies(table(spark, sf_dir, "reviews"))
+
+
+def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_duplicates.collapse(table(spark, sf_dir, "reviews"))
+
+
 def p5_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
     return suffix_counts.marked_words(suffix_counts.word_counts(*index), suffix_counts.live_reviews(*index))
@@ -33,6 +41,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_marks(spark, sf_dir).where("mark IS NOT NULL").select("word", "mark")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near_duplicates.Similar(table(spark, sf_dir, "reviews"), 0.7).pairs()
+    return pairs.select(F.col("a").alias("review_id_a"), F.col("b").alias("review_id_b"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.Similar(table(spark, sf_dir, "reviews"), 0.7).groups()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
@@ -47,7 +64,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_scores": p1_scores, "p5_found": p5_found, "p5_marks": p5_marks, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_pieces": p9_pieces}
+    return {"p1_found": p1_found, "p1_scores": p1_scores, "p3_found": p3_found, "p3_collapsed": p3_collapsed, "p5_found": p5_found, "p5_marks": p5_marks, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_pieces": p9_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
