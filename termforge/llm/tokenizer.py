@@ -86,7 +86,8 @@ class Encoder:
         got = list(map(self.tokens_of.get, parts))
         if None in got:
             new = list(dict.fromkeys(p for p, n in zip(parts, got, strict=True) if n is None))
-            sizes = dict(zip(new, self.size[self.find(new)].tolist(), strict=True))
+            rows = self.find(new)  # may put a larger table in place of self.size
+            sizes = dict(zip(new, self.size[rows].tolist(), strict=True))
             self.tokens_of.update((p, n) for p, n in sizes.items() if len(p) <= CACHED_CHARS)
             got = [sizes[p] if n is None else n for p, n in zip(parts, got, strict=True)]
         return got
