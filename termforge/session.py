@@ -38,6 +38,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to a new table in the shared folder and read again: a cut of the lineage that takes little disk."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most max_rows rows; counts no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
