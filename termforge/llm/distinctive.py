@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from termforge.operators.heavy_keys import heavy_keys, split_by_weight
 from termforge.operators.live_index import collapse, valid_postings
+from termforge.session import durable, stored
 
 #: Words at most WINDOW - 1 places apart are joined.
 WINDOW = 4
@@ -53,25 +54,56 @@ def degrees(record: np.ndarray, freq: np.ndarray, phase: np.ndarray, window: int
 
 
 def phase_column(word: str = "word", rid: str = "rid"):
-    """A hash of word and review in [0, 1)."""
-    return F.pmod(F.xxhash64(word, rid), F.lit(1 << 20)) / F.lit(float(1 << 20))
-
-
-DEGREES = "rid bigint, word string, freq bigint, length bigint, degree bigint"
-_SCHEMA = pa.schema([("rid", pa.int64()), ("word", pa.string()), ("freq", pa.int64()), ("length", pa.int64()), ("degree", pa.int64())])
-
-
-def _review_degrees(window: int):
-    def work(table: pa.Table) -> pa.RecordBatch:
-        rid, freq, phase = (table.column(c).to_numpy() for c in ("rid", "freq", "phase"))
-        first = np.flatnonzero(np.diff(rid, prepend=rid[0] - 1))
-        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rid))))
-        length = np.add.reduceat(freq, first)[number]
-        out = [pa.array(rid), table.column("word").combine_chunks(), pa.array(freq), pa.array(length), pa.array(degrees(number, freq, phase, window).astype(np.int64))]
-        return pa.RecordBatch.from_arrays(out, schema=_SCHEMA)
+    """A number in [0, 1) that a word's hash and the review give."""
+    return F.pmod(F.xxhash64(F.xxhash64(word), rid), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+
+#: kind 0: a word of a review; 1: reviews and mentions of a word, in part; 2: number of reviews, in part.
+ROWS, WORDS, REVIEWS = range(3)
+PARTS = "kind int, rid bigint, word string, freq bigint, length bigint, degree bigint, reviews bigint, mentions bigint"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("word", pa.string()), *((k, pa.int64()) for k in ("freq", "length", "degree", "reviews", "mentions"))])
+#: Word counts that a task holds before it hands them on.
+HELD = 1_000_000
+
+
+def _batch(kind: int, n: int, **columns) -> pa.RecordBatch:
+    made = {"kind": pa.array(np.full(n, kind, np.int32))} | {k: c if isinstance(c, pa.Array) else pa.array(c) for k, c in columns.items()}
+    return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def _review_degrees(window: int, min_freq: int):
+    """Rows (rid, hash, flush_id, freq, phase, word) in order of the first four, freq falling, to PARTS."""
+
+    def work(table: pa.Table, counts: list) -> pa.RecordBatch:
+        rid, hash_, flush, freq, phase = (table.column(c).to_numpy() for c in ("rid", "hash", "flush_id", "freq", "phase"))
+        new = np.ones(len(rid), bool)  # a word of a review begins
+        new[1:] = (rid[1:] != rid[:-1]) | (hash_[1:] != hash_[:-1])
+        once = new.copy()  # replays come after the row that counts
+        once[1:] |= flush[1:] != flush[:-1]
+        first = np.flatnonzero(new)
+        freq = np.add.reduceat(np.where(once, freq, 0), first)
+        rid, hash_, phase = rid[first], hash_[first], phase[first]
+        begin = np.flatnonzero(np.diff(rid, prepend=rid[0] - 1))
+        number = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(rid))))
+        length = np.add.reduceat(freq, begin)[number]
+        degree = degrees(number, freq, phase, window).astype(np.int64)
+        keep = np.flatnonzero(freq >= min_freq)
+        words = table.column("word").combine_chunks().take(pa.array(first))
+        counts.append((hash_, freq, words, len(begin)))
+        return _batch(ROWS, len(keep), rid=rid[keep], word=words.take(pa.array(keep)), freq=freq[keep], length=length[keep], degree=degree[keep])
+
+    def handed(counts: list) -> Iterator[pa.RecordBatch]:
+        if counts:
+            hash_, freq = (np.concatenate([c[k] for c in counts]) for k in (0, 1))
+            _, at, back, reviews = np.unique(hash_, return_index=True, return_inverse=True, return_counts=True)
+            words = pa.concat_arrays([c[2] for c in counts]).take(pa.array(at))
+            yield _batch(WORDS, len(at), word=words, reviews=reviews.astype(np.int64), mentions=np.bincount(back, freq).astype(np.int64))
+            yield _batch(REVIEWS, 1, reviews=np.array([sum(c[3] for c in counts)]))
+            counts.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
+        counts: list = []
         for batch in batches:
             rid = batch.column(0).to_numpy()
             if not len(rid):
@@ -81,10 +113,13 @@ def _review_degrees(window: int):
                 done = pa.Table.from_batches([*kept, batch.slice(0, last)])
                 kept = []
                 if done.num_rows:
-                    yield work(done)
+                    yield work(done, counts)
             kept.append(batch.slice(last))
+            if sum(len(c[0]) for c in counts) > HELD:
+                yield from handed(counts)
         if kept:
-            yield work(pa.Table.from_batches(kept))
+            yield work(pa.Table.from_batches(kept), counts)
+        yield from handed(counts)
 
     return run
 
@@ -121,10 +156,12 @@ def _heavy_degrees(pairs: DataFrame, window: int) -> DataFrame:
     return sized.join(degree, ["rid", "word"], "left").select("rid", "word", "freq", "length", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def word_degrees(pairs: DataFrame, heavy_pairs: DataFrame | None = None, window: int = WINDOW) -> DataFrame:
-    """(rid, word, freq, length, degree) of pairs (word, rid, freq), which are partitioned by rid; heavy_pairs may be of any kind."""
-    light = pairs.select("rid", "word", "freq", phase_column().alias("phase")).sortWithinPartitions("rid", "word").mapInArrow(_review_degrees(window), DEGREES)
-    return light if heavy_pairs is None else light.unionByName(_heavy_degrees(heavy_pairs, window))
+def review_parts(valid: DataFrame, window: int = WINDOW, min_freq: int = 1) -> DataFrame:
+    """PARTS of valid rows (word, rid, freq, flush_id): one shuffle by rid, in which replays, sums, degrees and counts are made."""
+    # hashes are made after the shuffle: they don't compress
+    rows = valid.select("rid", "freq", F.coalesce("flush_id", F.lit(-1)).alias("flush_id"), "word").repartition("rid")
+    rows = rows.select("rid", F.xxhash64("word").alias("hash"), "flush_id", "freq", phase_column().alias("phase"), "word")
+    return rows.sortWithinPartitions("rid", "hash", "flush_id", F.col("freq").desc()).mapInArrow(_review_degrees(window, min_freq), PARTS)
 
 
 def distinctive_words(postings: DataFrame, tombstones: DataFrame, min_freq: int = 1, window: int = WINDOW) -> DataFrame:
@@ -133,24 +170,27 @@ def distinctive_words(postings: DataFrame, tombstones: DataFrame, min_freq: int
     score = degree * ln(1 + live reviews with any word / live reviews with the word); the degree of the only word of a
     review is 0. min_freq leaves out words mentioned less often in the review, after degrees and counts were made over
     everything. Null words and rids, freq below 1 and deleted reviews don't count, replays count once. Ties have equal
-    scores; empty tables give an empty result; extra columns are ignored.
+    scores; empty tables give an empty result; extra columns are ignored. Words are told apart by 64-bit hashes within
+    a task.
     """
     valid = valid_postings(postings, tombstones)
     heavy = heavy_keys(postings.select("rid").where("rid IS NOT NULL"), "rid", HEAVY_REVIEW)
-    heavy_pairs = None
     if heavy.isEmpty():
-        pairs = collapse(valid.repartition("rid"))
+        parts = stored(review_parts(valid, window, min_freq), "parts")
     else:
         large, small = split_by_weight(valid, "rid", heavy)
-        pairs, heavy_pairs = collapse(small.repartition("rid")), collapse(large.repartition("rid", "word"))
-    every = pairs if heavy_pairs is None else pairs.unionByName(heavy_pairs)
-    stats = every.groupBy("word").agg(F.count(F.lit(1)).alias("reviews"), F.sum("freq").alias("mentions"))
-    totals = stats.agg(F.sum("mentions").alias("all_mentions"))
-    live = every.agg(F.countDistinct("rid").alias("live")) if heavy_pairs is not None else pairs.groupBy("rid").agg(F.first("rid").alias("r")).agg(F.count("r").alias("live"))
-    scored = word_degrees(pairs, heavy_pairs, window).where(F.col("freq") >= min_freq)
-    found = scored.join(stats, "word").join(F.broadcast(totals.join(F.broadcast(live))))  # one row
-    score = F.col("degree") * F.log1p(F.col("live") / F.col("reviews"))
-    return found.select("rid", "word", score.alias("score"), "degree", "freq", "length", "reviews", "mentions", "all_mentions")
+        pairs = durable(collapse(large.repartition("rid", "word")))
+        none = lambda *names: [F.lit(None).cast("bigint").alias(n) for n in names]
+        rows = _heavy_degrees(pairs, window).where(F.col("freq") >= min_freq).select(F.lit(ROWS).alias("kind"), "rid", "word", "freq", "length", "degree", *none("reviews", "mentions"))
+        counts = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("reviews"), F.sum("freq").alias("mentions"))
+        counts = counts.select(F.lit(WORDS).alias("kind"), *none("rid"), "word", *none("freq", "length", "degree"), "reviews", "mentions")
+        number = pairs.agg(F.countDistinct("rid").alias("reviews")).select(F.lit(REVIEWS).alias("kind"), *none("rid"), F.lit(None).cast("string").alias("word"), *none("freq", "length", "degree"), "reviews", *none("mentions"))
+        parts = stored(review_parts(small, window, min_freq).unionByName(rows).unionByName(counts).unionByName(number), "parts")
+    stats = parts.where(F.col("kind") == WORDS).groupBy("word").agg(F.sum("reviews").alias("reviews"), F.sum("mentions").alias("mentions"))
+    live, mentions = parts.agg(F.sum(F.when(F.col("kind") == REVIEWS, F.col("reviews"))), F.sum(F.when(F.col("kind") == WORDS, F.col("mentions")))).first()
+    found = parts.where(F.col("kind") == ROWS).select("rid", "word", "freq", "length", "degree").join(stats, "word")
+    score = F.col("degree") * F.log1p(F.lit(live or 0) / F.col("reviews"))
+    return found.select("rid", "word", score.alias("score"), "degree", "freq", "length", "reviews", "mentions", F.lit(mentions or 0).cast("bigint").alias("all_mentions"))
 
 
 def degrees_of_texts(texts: DataFrame, id_col: str, words_col: str, window: int = WINDOW) -> DataFrame:
