@@ -47,7 +47,7 @@ def word_order(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 LISTED = "word bigint, first int, second int, size int, pos int, id bigint, mine int, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 
 
-def _list_rows(order: tuple[np.ndarray, np.ndarray], threshold: Fraction):
+def _list_rows(order: tuple[np.ndarray, np.ndarray], threshold: Fraction, longest: int):
     known, counts = order
     num, den = threshold.numerator, threshold.denominator
     schema = pa.schema([("word", pa.int64()), ("first", pa.int32()), ("second", pa.int32()), ("size", pa.int32()), ("pos", pa.int32()), ("id", pa.int64()), ("mine", pa.int32()), *((f"s{k}", pa.int64()) for k in range(SIGNATURE))])
@@ -71,8 +71,8 @@ def _list_rows(order: tuple[np.ndarray, np.ndarray], threshold: Fraction):
             prefix = size - -(-size * num // den) + 1
             keep = pos < prefix[row]
             word, count, owner, pos = flat[sort][keep], count[sort][keep], row[keep], pos[keep]
-            # a word of more than LIST sets: its sets are dealt to parts, and every pair of parts is a list
-            parts = np.maximum(1, -(-count // LIST))
+            # a word of more than that many sets: its sets are dealt to parts, and every pair of parts is a list
+            parts = np.maximum(1, -(-count // longest))
             mine = (np.mod(ids[owner] * np.int64(-7046029254386353131), np.int64(1) << 40) >> 8) % parts
             again = np.repeat(np.arange(len(word)), parts)
             other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -172,7 +172,8 @@ class Similar:
     class; of several rows of one id, one counts. An empty table gives empty results; extra columns are ignored.
     """
 
-    def __init__(self, reviews: DataFrame, threshold: float = 0.8, id_col: str = "review_id", text_col: str = "text") -> None:
+    def __init__(self, reviews: DataFrame, threshold: float = 0.8, id_col: str = "review_id", text_col: str = "text", longest: int = LIST) -> None:
+        self.longest = longest
         self.threshold = Fraction(str(threshold))
         if not 0 < self.threshold <= 1:
             raise ValueError("threshold must be above 0 and at most 1")
@@ -183,7 +184,7 @@ class Similar:
 
     def candidates(self) -> DataFrame:
         """(a, b): pairs of classes that no bound rules out."""
-        listed = self.classes.select("class", "words").mapInArrow(_list_rows(word_order(self.classes), self.threshold), LISTED)
+        listed = self.classes.select("class", "words").mapInArrow(_list_rows(word_order(self.classes), self.threshold, self.longest), LISTED)
         key = ["word", "first", "second"]
         return listed.repartition(*key).sortWithinPartitions(*key, "size", "pos").mapInArrow(_candidates(self.threshold), "a bigint, b bigint").distinct()
 

@@ -9,7 +9,6 @@ fullest window is over capacity, the number of windows rises and it starts again
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +70,8 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
 def pack_group(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The container of each item; no item is above capacity."""
     total = int(sizes.sum())
-    k = max(1, -(-total // capacity))
+    # two items above half of the capacity can't share a container
+    k = max(1, -(-total // capacity), int((sizes * 2 > capacity).sum()))
     while True:
         where = differencing(sizes, k)
         if np.bincount(where, sizes, minlength=k).max() <= capacity:
@@ -84,7 +84,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, windows: i
 
     An item above capacity fills containers by itself as often as it can, and its rest is packed like any other item;
     start is where in the item a piece begins. Sizes that are null, 0 or negative are left out. Repeated rows are items
-    of their own; an empty table gives an empty result; extra columns are ignored. The sizes are read twice: once for
+    of their own, a null id is kept; an empty table gives an empty result; extra columns are ignored. The sizes are read twice: once for
     the number of groups.
     """
     sizes = items.select(F.col(id_col).cast("bigint").alias("id"), F.col(size_col).cast("bigint").alias("size")).where(F.col("size") > 0)
@@ -95,9 +95,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, windows: i
     schema = pa.schema([("container", pa.int64()), (id_col, pa.int64()), ("start", pa.int64()), (size_col, pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        ids, size = (table.column(c).to_numpy() for c in ("id", "size"))
-        order = np.lexsort((ids, size))
-        ids, size = ids[order], size[order]
+        table = table.sort_by([("size", "ascending"), ("id", "ascending")]).combine_chunks()
+        ids, size = table.column("id"), table.column("size").to_numpy()
         group = table.column("grp")[0].as_py()
         full, rest = size // capacity, size % capacity
         at = np.flatnonzero(rest)
@@ -106,7 +105,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, windows: i
         item = np.repeat(np.arange(len(size)), full)
         nth = np.arange(len(item)) - np.repeat(np.cumsum(full) - full, full)
         container = np.concatenate([where, used + np.arange(len(item))]) + group * GROUP_STEP
-        out = [container, np.concatenate([ids[at], ids[item]]), np.concatenate([full[at] * capacity, nth * capacity]), np.concatenate([rest[at], np.full(len(item), capacity)])]
-        return pa.table([pa.array(x, pa.int64()) for x in out], schema=schema)
+        places, counts = np.concatenate([full[at] * capacity, nth * capacity]), np.concatenate([rest[at], np.full(len(item), capacity)])
+        return pa.table([pa.array(container), ids.take(pa.array(np.concatenate([at, item]))), pa.array(places), pa.array(counts)], schema=schema)
 
     return grouped.groupBy("grp").applyInArrow(run, f"container bigint, `{id_col}` bigint, start bigint, `{size_col}` bigint")
