@@ -42,13 +42,15 @@ def _parts() -> re.Pattern:
 class Atoms:
     """Atoms of one text: cum tokens before each, off code points before each, rank of the place before each."""
 
-    def __init__(self, text: str, find_counts) -> None:
+    def __init__(self, text: str, find_counts, core: int) -> None:
         words = ATOM.findall(text)
         counts = find_counts(words)
         self.exact = True
         ranks = None
-        if max(counts, default=0) > LONG_ATOM or any(ord(c) > 0x3000 for c in text[:1000:50]):
+        self.long, self.letters = min(LONG_ATOM, core // 4), max(1, min(LETTERS, core // 4))
+        if max(counts, default=0) > self.long or any(ord(c) > 0x3000 for c in text[:1000:50]):
             words, counts, ranks = self.cut(words, counts, find_counts)
+        self.exact &= max(counts, default=0) <= core
         n = len(words)
         self.cum = [0, *accumulate(counts)]
         self.off = [0, *accumulate(map(len, words))]
@@ -72,28 +74,28 @@ class Atoms:
 
     def cut(self, words: list[str], counts: list[int], find_counts) -> tuple[list[str], list[int], list]:
         """Long atoms without white space inside: at ends of sentences in scripts without blanks, else between runs of letters, else after LETTERS characters."""
-        out, ranks = [], []
+        out, ranks, size = [], [], self.letters
         for word, count in zip(words, counts, strict=True):
-            if count <= 8:
+            if count <= min(8, self.long):
                 out.append(word)
                 ranks.append(None)
                 continue
             pieces = INNER_END.findall(word)
             first = True
             for piece in pieces:
-                if count <= LONG_ATOM and len(pieces) == 1:
+                if count <= self.long and len(pieces) == 1:
                     out.append(piece)
                     ranks.append(None)
                     break
                 for j, run in enumerate(PARTS.findall(piece) or [piece]):
-                    for k in range(0, len(run), LETTERS) if len(run) > 2 * LETTERS else [0]:
-                        bit = run[k : k + LETTERS] if len(run) > 2 * LETTERS else run
-                        self.exact &= len(run) <= 2 * LETTERS
+                    for k in range(0, len(run), size) if len(run) > 2 * size else [0]:
+                        bit = run[k : k + size] if len(run) > 2 * size else run
+                        self.exact &= len(run) <= 2 * size
                         out.append(bit)
                         ranks.append(None if first else CHARACTER if k else PART if j else SENTENCE)
                         first = False
         if "".join(out) != "".join(words):  # characters that no pattern takes up
-            out = [w[k : k + LETTERS] for w in words for k in range(0, len(w), LETTERS)]
+            out = [w[k : k + size] for w in words for k in range(0, len(w), size)]
             ranks = [CHARACTER] * len(out)
             self.exact = False
         return out, find_counts(out), ranks
@@ -135,12 +137,19 @@ def cores(atoms: Atoms, limit: int, core: int) -> list[tuple[int, int]]:
 
     if len(cum) > 1:
         split(0, len(cum) - 1, SECTION)
-    return out
+    packed = out[:1]  # what was left over of a part that was cut goes with what comes after, where both fit
+    for a, b in out[1:]:
+        first = packed[-1][0]
+        if cum[b] - cum[first] <= room(first):
+            packed[-1] = (first, b)
+        else:
+            packed.append((a, b))
+    return packed
 
 
 def split_text(text: str, limit: int, overlap: int, find_counts) -> list[tuple[int, int, int, int]]:
     """(begin, end, tokens, tokens repeated) of the pieces, in code points; pieces of one text cover it in order."""
-    atoms = Atoms(text, find_counts)
+    atoms = Atoms(text, find_counts, limit - overlap)
     cum, off = atoms.cum, atoms.off
     if cum[-1] <= limit and atoms.exact:
         return [(0, len(text), cum[-1], 0)] if text else []
@@ -148,7 +157,7 @@ def split_text(text: str, limit: int, overlap: int, find_counts) -> list[tuple[i
     for a, b in cores(atoms, limit, limit - overlap):
         start = a
         if a and overlap:
-            least = max(bisect_left(cum, cum[a] - overlap), before)
+            least = max(bisect_left(cum, cum[a] - overlap), before + 1)
             for rank in (SENTENCE, WORD, CHARACTER):
                 places = atoms.places[rank]
                 k = bisect_left(places, least)
