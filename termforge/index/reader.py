@@ -18,6 +18,7 @@ class IndexReader:
         self.spark = spark
         self.catalog = Catalog(spark, root)
         self.manifest = self.catalog.load(version)
+        self._dead: DataFrame | None = None
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         """All paths in one scan, however many there are."""
@@ -27,7 +28,12 @@ class IndexReader:
         return self._read(self.manifest.tombstones, "rid bigint").distinct()
 
     def _live(self, rows: DataFrame) -> DataFrame:
-        return rows.join(sized(self.tombstones()), "rid", "left_anti") if self.manifest.tombstones else rows
+        """rows without deleted reviews; the deleted ones are counted once for each reader."""
+        if not self.manifest.tombstones:
+            return rows
+        if self._dead is None:
+            self._dead = sized(self._read(self.manifest.tombstones, "rid bigint"))
+        return rows.join(self._dead, "rid", "left_anti")
 
     def segment_rows(self, segments: list[Segment] | None = None) -> DataFrame:
         """Rows (term, rid, freq) as they are on disk, deleted reviews among them."""
@@ -40,8 +46,8 @@ class IndexReader:
     def term(self, term: str, normalize: bool = False) -> DataFrame:
         """(rid, freq) of a term in order of rid. The term is taken as it is, unless ``normalize``; unknown terms give no rows."""
         term = term.strip().lower() if normalize else term
-        rows = self.segment_rows().where(F.col("term") == F.lit(term))
-        return self._live(rows).groupBy("rid").agg(F.sum("freq").alias("freq")).orderBy("rid")
+        # a review's rows are in one segment, or, cut off by a flush, in two that don't share its terms: nothing to add up
+        return self._live(self.segment_rows().where(F.col("term") == F.lit(term))).select("rid", "freq").orderBy("rid")
 
     def terms(self, words: DataFrame) -> DataFrame:
         """(term, rid, freq) of all terms in a column ``term``; a list longer than can be broadcast is joined by shuffle."""
@@ -52,7 +58,7 @@ class IndexReader:
         return self.postings().where(F.col("term") == F.lit(term)).agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
 
     def reviews_with(self, term: str) -> int:
-        return self.postings().where(F.col("term") == F.lit(term)).select("rid").distinct().count()
+        return self.postings().where(F.col("term") == F.lit(term)).count()
 
     def meta(self) -> DataFrame:
         """Metadata of live reviews."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termforge.functions import codec
-from termforge.functions.tokens import terms, text_length
+from termforge.functions.tokens import MAX_TERM, spaced, text_length
 from termforge.operators.numbering import running
 
 META = ["rid", "product_id", "score", "helpfulness_num", "helpfulness_den", "review_length"]
@@ -17,7 +17,8 @@ def build_postings(reviews: DataFrame) -> DataFrame:
 
     A null or empty text has no postings; rows of one rid add up; a null rid is left out; extra columns are ignored.
     """
-    tokens = reviews.where(F.col("rid").isNotNull()).select(F.col("rid").cast("bigint").alias("rid"), F.explode(terms(F.col("text"))).alias("term"))
+    tokens = reviews.where(F.col("rid").isNotNull()).select(F.col("rid").cast("bigint").alias("rid"), F.explode(F.split(spaced(F.col("text")), " ")).alias("term"))
+    tokens = tokens.where((F.col("term") != "") & (F.length("term") <= MAX_TERM))
     return tokens.groupBy("term", "rid").agg(F.count(F.lit(1)).alias("freq"))
 
 

@@ -13,14 +13,14 @@ from termforge.index.reader import IndexReader
 from termforge.index.writer import LogMergeWriter, SimpleMergeWriter
 from termforge.operators import layout, postings
 from termforge.sources import reviews as source
-from termforge.session import durable, table, work_path
+from termforge.session import durable, spread, table, work_path
 
 #: Rows of a flush, and inserts after the first build, in the lifecycle queries; rids of a block in varint_roundtrip.
 CAPACITY, INSERTS, RID_BLOCK = 20_000, 4, 512
 
 
 def reviews(spark: SparkSession, d: str) -> DataFrame:
-    return source.from_documents(table(spark, d, "documents"))
+    return source.from_documents(spread(table(spark, d, "documents")))
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
