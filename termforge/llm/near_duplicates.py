@@ -4,8 +4,9 @@ Equal word sets are one class, joined once; the answers of its members are those
 index lists of its rarest words, as many as any two similar sets must have one in common among. A list is kept in
 order of set size and of the word's position in the set, in blocks. From sizes and positions of two blocks follows how
 much any two of their sets can have in common, and pairs of blocks that can't reach the threshold are skipped whole.
-Pairs that survive a bound on bit signatures are compared exactly. Long lists are cut into blocks of LIST rows, each
-pair of which is a task's work of bounded size.
+Pairs that survive a bound on bit signatures are compared exactly, by their short differences from a common leader
+where they have one, so that a set's answers follow from those of a set much like it. Long lists are cut into blocks of
+LIST rows, each pair of which is a task's work of bounded size.
 """
 
 from __future__ import annotations
@@ -189,12 +190,27 @@ class Similar:
         return listed.repartition(*key).sortWithinPartitions(*key, "size", "pos").mapInArrow(_candidates(self.threshold), "a bigint, b bigint").distinct()
 
     def _links(self) -> DataFrame:
+        """Exact comparison of the candidates.
+
+        Every set has a leader, its smallest candidate partner or itself, and is compared with that one only; what it
+        has less and more is kept. For two sets under one leader the answer follows from these short differences:
+        shared = leader - |less of one or the other| + |more of both|. Only pairs under two leaders are compared whole.
+        """
         sets = self.classes.select("class", "words")
         pairs = durable(self.candidates())
-        one = durable(sets.join(sized(pairs), sets["class"] == pairs["a"]).select("a", "b", F.col("words").alias("words_a")))
-        both = sets.join(sized(one, 100_000), sets["class"] == one["b"])
-        shared = F.size(F.array_intersect("words", "words_a"))
-        found = both.select("a", "b", shared.alias("shared"), F.size("words_a").alias("size_a"), F.size("words").alias("size_b"))
+        ends = pairs.select(F.col("b").alias("id"), F.col("a").alias("leader")).unionByName(pairs.select(F.col("a").alias("id"), F.col("a").alias("leader")))
+        nodes = durable(ends.groupBy("id").agg(F.min("leader").alias("leader")))
+        own = durable(sets.join(sized(nodes), sets["class"] == nodes["id"]).select("id", "leader", "words"))
+        leaders = nodes.select(F.col("leader").alias("id")).distinct()
+        led = own.join(sized(leaders), "id", "left_semi").select(F.col("id").alias("leader"), F.col("words").alias("whole"))
+        apart = durable(own.join(led, "leader").select("id", "leader", F.size("words").alias("size"), F.size("whole").alias("n"), F.array_except("whole", "words").alias("less"), F.array_except("words", "whole").alias("more")))
+        a, b = (apart.select(*(F.col(c).alias(f"{c}_{e}") for c in apart.columns)) for e in "ab")
+        both = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
+        derived = F.col("n_a") - F.size(F.array_union("less_a", "less_b")) + F.size(F.array_intersect("more_a", "more_b"))
+        one = both.where("leader_a = leader_b").select("a", "b", derived.alias("shared"), "size_a", "size_b")
+        two = both.where("leader_a <> leader_b").select("a", "b", "size_a", "size_b")
+        two = two.join(own.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(own.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+        found = one.unionByName(two.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("shared"), "size_a", "size_b"))
         t = self.threshold
         return found.where(F.col("shared") * (t.numerator + t.denominator) >= (F.col("size_a") + F.col("size_b")) * t.numerator)
 
