@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termforge.llm.canonical import canonical_text
-from termforge.session import durable
+from termforge.session import durable, sized
 
 #: Bits of a block, hashes that a block is made for, and blocks (4 KB each) that are broadcast at most.
 BLOCK_BITS, BLOCK_HASHES, BROADCAST_BLOCKS = 1 << 15, 2048, 8192
@@ -106,6 +106,6 @@ def collapse(reviews: DataFrame, id_col: str = "review_id", text_col: str = "tex
 
 def copies(reviews: DataFrame, id_col: str = "review_id", text_col: str = "text") -> DataFrame:
     """(id_a, id_b): each further id of a text, with the smallest; input cases as in ``collapse``."""
-    maybe = _split(reviews, id_col, text_col)[0]
+    maybe = durable(_split(reviews, id_col, text_col)[0])
     groups = maybe.groupBy("exact").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("exact", "a")
-    return maybe.join(groups, "exact").where(F.col("id") != F.col("a")).select(F.col("a").alias(f"{id_col}_a"), F.col("id").alias(f"{id_col}_b"))
+    return maybe.join(sized(groups), "exact").where(F.col("id") != F.col("a")).select(F.col("a").alias(f"{id_col}_a"), F.col("id").alias(f"{id_col}_b"))

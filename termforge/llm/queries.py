@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.llm import distinctive, format_duplicates, near_duplicates, packing, splitting, suffix_counts, tokenizer
+from termforge.llm.canonical import LABEL, NO_LETTER, NOT_BLANK, SECTION_END, WORD
 from termforge.plans.problems import LIVE_SQL
 from termforge.session import durable, table
 
@@ -68,9 +69,20 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    texts = f"""WITH t AS (SELECT DISTINCT review_id, text, lower(text) AS x FROM reviews WHERE review_id IS NOT NULL),
+s AS (SELECT review_id, x, list_filter(regexp_split_to_array(x, '{SECTION_END}'), lambda y: regexp_matches(y, '{NOT_BLANK}')) AS s FROM t),
+k AS (SELECT review_id, x, CASE WHEN contains(x, ':') AND len(s) > 1 AND len(list_filter(s, lambda y: NOT regexp_matches(y, '{LABEL}'))) = 0 THEN array_to_string(list_sort(list_transform(s, lambda y: regexp_replace(y, '{NO_LETTER}', '', 'g'))), '') ELSE regexp_replace(x, '{NO_LETTER}', '', 'g') END AS k FROM s),
+g AS (SELECT k, min(review_id) AS a, count(*) AS copies FROM k WHERE k <> '' GROUP BY k),
+w AS (SELECT DISTINCT review_id, unnest(regexp_extract_all(x, '{WORD}')) AS word FROM t WHERE x IS NOT NULL),
+n AS (SELECT review_id, count(*) AS n FROM w GROUP BY review_id),
+c AS (SELECT a.review_id AS a, b.review_id AS b, count(*) AS c FROM w AS a JOIN w AS b USING (word) WHERE a.review_id < b.review_id GROUP BY ALL)
+"""
     counts = f"WITH {LIVE_SQL}, n AS (SELECT count(DISTINCT rid) AS n FROM live), c AS (SELECT word, CAST(count(*) AS BIGINT) AS reviews, CAST(sum(freq) AS BIGINT) AS mentions FROM live GROUP BY word), marked AS (SELECT word, mentions, reviews, CASE WHEN reviews <= 2 THEN 'rare' WHEN reviews >= 0.2 * (SELECT n FROM n) THEN 'common' END AS mark FROM c)"
     return {
         "p1_found": f"WITH {LIVE_SQL}, l AS (SELECT rid, sum(freq) AS length FROM live GROUP BY rid), c AS (SELECT word, count(*) AS reviews, sum(freq) AS mentions FROM live GROUP BY word) SELECT rid, word FROM live JOIN l USING (rid) JOIN c USING (word) WHERE freq >= 4 AND reviews >= 2 AND freq * (SELECT sum(freq) FROM live) >= 100 * length * mentions",
+        "p3_found": texts + "SELECT a AS review_id_a, review_id AS review_id_b FROM k JOIN g USING (k) WHERE review_id <> a",
+        "p3_collapsed": texts + "SELECT a AS review_id, copies FROM g UNION ALL SELECT review_id, CAST(1 AS BIGINT) FROM k WHERE coalesce(k, '') = ''",
+        "p6_found": texts + "SELECT a AS review_id_a, b AS review_id_b FROM c JOIN n AS x ON x.review_id = a JOIN n AS y ON y.review_id = b JOIN k AS i ON i.review_id = a JOIN k AS j ON j.review_id = b WHERE c * 17 >= (x.n + y.n) * 7 AND i.k <> j.k",
         "p5_marks": counts + " SELECT word, mentions, reviews, mark FROM marked",
         "p5_found": counts + " SELECT word, mark FROM marked WHERE mark IS NOT NULL",
     }
