@@ -7,6 +7,9 @@ take one ordinary shuffle by key. The union is complete: no row is dropped, samp
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,4 +62,5 @@ def word_stats(postings: DataFrame, tombstones: DataFrame, share: float = HEAVY_
 def frequent_words(stats: DataFrame, share: float) -> DataFrame:
     """Words whose reviews are at least ``share`` of all (word, rid) pairs."""
     pairs = stats.agg(F.sum("reviews")).first()[0] or 0
-    return stats.where(F.col("reviews") >= F.lit(share) * F.lit(pairs)).select("word")
+    least = math.ceil(Fraction(str(share)) * pairs)  # exact, as 0.028 isn't in binary
+    return stats.where(F.col("reviews") >= least).select("word")
