@@ -9,7 +9,9 @@ reach a border of a batch are put together afterwards.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -131,5 +133,6 @@ def live_reviews(postings: DataFrame, tombstones: DataFrame) -> int:
 
 def marked_words(counts: DataFrame, reviews: int, rare: int = 2, common: float = 0.2) -> DataFrame:
     """counts with a column mark: ``rare`` up to that many reviews, else ``common`` from that share of the reviews on, else null."""
-    mark = F.when(F.col("reviews") <= rare, "rare").when(F.col("reviews") >= F.lit(common) * F.lit(reviews), "common")
+    least = math.ceil(Fraction(str(common)) * reviews)  # exact, as 0.2 isn't in binary
+    mark = F.when(F.col("reviews") <= rare, "rare").when(F.col("reviews") >= least, "common")
     return counts.withColumn("mark", mark)
