@@ -48,6 +48,11 @@ def varint_decode(stream: Column) -> Column:
     return F.aggregate(numbers, start, step, whole)
 
 
+def int_bytes(value: Column) -> Column:
+    """Four big-endian bytes of a number from 0 to 2^32 - 1; null outside."""
+    return F.when(value.between(0, (1 << 32) - 1), F.unhex(F.lpad(F.hex(value.cast("bigint")), 8, "0")))
+
+
 def gaps(rid: str = "rid", key: str = "term") -> Column:
     """Differences of neighbouring rids of a term; the first is the rid itself."""
     return F.col(rid) - F.lag(rid, 1, 0).over(Window.partitionBy(key).orderBy(rid))

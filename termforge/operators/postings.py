@@ -43,6 +43,16 @@ def dictionary(postings: DataFrame) -> DataFrame:
     return numbered.select("term", (F.col("n") + 1).alias("tid"), F.expr(f"n div {codec.BLOCK_TERMS}").alias("block"), (F.col("n") % codec.BLOCK_TERMS).alias("pos"))
 
 
+def with_ids(postings: DataFrame, words: DataFrame) -> DataFrame:
+    """(tid, rid, freq) of postings and a dictionary, in order of (tid, rid); terms that the dictionary lacks are left out."""
+    return postings.join(words.select("term", "tid"), "term").select("tid", "rid", "freq").orderBy("tid", "rid")
+
+
+def with_terms(coded: DataFrame, words: DataFrame) -> DataFrame:
+    """(term, rid, freq) of what ``with_ids`` gave."""
+    return coded.join(words.select("term", "tid"), "tid").select("term", "rid", "freq")
+
+
 def encoded_bytes(postings: DataFrame) -> DataFrame:
     """(term, gap_bytes, freq_bytes): bytes of the coded postings list of each term."""
     rows = postings.withColumn("gap", codec.gaps())

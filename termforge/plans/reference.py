@@ -108,6 +108,12 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def id_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    own = durable(rows(spark, d))
+    dictionary = durable(postings.dictionary(own))
+    return postings.with_terms(postings.with_ids(own, dictionary), dictionary)
+
+
 def flushes(spark: SparkSession, d: str) -> DataFrame:
     return layout.flush_numbers(rows(spark, d), CAPACITY)
 
@@ -175,6 +181,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "postings_sorted": lambda s, d: rows(s, d).orderBy("term", "rid"),
         "postings_nested": postings_nested,
         "dict_encode": lambda s, d: postings.dictionary(rows(s, d)).select("term", "tid"),
+        "id_encode": lambda s, d: postings.with_ids(rows(s, d), postings.dictionary(rows(s, d))),
+        "id_roundtrip": id_roundtrip,
         "term_lookup": lambda s, d: reader(s, d, before_delete=True).term("the"),
         "term_lookup_segments": lambda s, d: _found(s, d, reader(s, d, before_delete=True)),
         "term_lookup_logmerge": lambda s, d: _found(s, d, reader(s, d, "log-early")),
@@ -247,6 +255,8 @@ levels AS (SELECT flush, CAST(length(bin(xor(flush, n))) - 1 AS BIGINT) AS level
         "postings_sorted": base + "SELECT term, rid, freq FROM post ORDER BY term, rid",
         "postings_nested": base + "SELECT term, string_agg(CAST(rid AS VARCHAR), ' ' ORDER BY rid) AS rids, string_agg(CAST(freq AS VARCHAR), ' ' ORDER BY rid) AS freqs FROM post GROUP BY term",
         "dict_encode": base + "SELECT term, tid FROM dict",
+        "id_encode": base + "SELECT tid, rid, freq FROM post JOIN dict USING (term)",
+        "id_roundtrip": base + "SELECT term, rid, freq FROM post",
         "term_lookup": base + "SELECT rid, freq FROM post WHERE term = 'the' ORDER BY rid",
         "term_lookup_segments": found("post"),
         "term_lookup_logmerge": found("live"),

@@ -28,6 +28,11 @@ def test_varint_bounds(spark):
     assert got == {v: (c, len(c) // 2) for v, c in BOUNDS.items()} | {-1: (None, None), 1 << 30: (None, None)}
 
 
+def test_int_bytes(spark):
+    df = spark.createDataFrame([(0,), (258,), (2**31 + 1,), (2**32,), (-1,)], "v bigint")
+    assert [r.c for r in df.select(F.hex(codec.int_bytes(F.col("v"))).alias("c")).collect()] == ["00000000", "00000102", "80000001", None, None]
+
+
 def test_varint_stream(spark):
     df = spark.createDataFrame([("".join(BOUNDS.values()),), ("",)], "h string").select(codec.varint_decode(F.unhex("h")).alias("d"))
     assert [r.d for r in df.collect()] == [list(BOUNDS), []]

@@ -10,6 +10,7 @@ from termforge.index.catalog import Catalog
 from termforge.index.reader import IndexReader
 from termforge.index.writer import LogMergeWriter, SimpleMergeWriter
 from termforge.operators import layout, postings
+from termforge.sources import dumps
 from termforge.sources import reviews as source
 from termforge.streaming.ingest import insert_stream
 
@@ -131,6 +132,10 @@ def test_sources(spark, tmp_path):
     assert [(r.product_id, r.helpfulness_num, r.helpfulness_den, r.score, r.text, r.problem) for r in got] == [("B1", 1, 2, 5, "Good: dog food", None), ("B2", 1, 2, None, "x", "review/score"), (None, None, None, None, None, "line")]
     (tmp_path / "words.txt").write_text("dog 1;\ncat 22;\nbad\n")
     assert rows(source.read_words(spark, str(tmp_path / "words.txt"))) == [("cat", 22), ("dog", 1)]
+    dumps.write_pairs(source.read_words(spark, str(tmp_path / "words.txt")), "word", "id", str(tmp_path / "again"))
+    assert rows(source.read_words(spark, str(tmp_path / "again"))) == [("cat", 22), ("dog", 1)]
+    dumps.write_lines(spark.createDataFrame([("a", None, 1)], "x string, y string, z int"), str(tmp_path / "lines"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()] == ["a  1"]
     folder = tmp_path / "ins"
     folder.mkdir()
     for n in ("10_x.txt", "9.txt", "readme"):
