@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 256
+#: Chunks looked at together.
+CHUNKS = 8192
 #: Bytes of records tokenized together; bounds the working memory of a task.
 GROUP_BYTES = 4_000_000
 
@@ -59,11 +61,16 @@ def _tables() -> np.ndarray:
 NEXT = _tables()
 
 
-def chunk_starts(classes: np.ndarray, layout: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    """The state in which each chunk begins; nth: the number of the chunk in its record, whose chunks are in a row."""
+def chunk_functions(classes: np.ndarray, layout: np.ndarray) -> np.ndarray:
+    """For each chunk the state after it, by the state before it."""
     run = np.tile(np.arange(STATES, dtype=np.uint8), (len(classes), 1))
     for j in range(classes.shape[1]):
         run = NEXT[layout[:, None], classes[:, j, None], run]
+    return run
+
+
+def chunk_starts(run: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """The state in which each chunk begins; nth: the number of the chunk in its record, whose chunks are in a row."""
     step = 1
     while len(nth) and step <= nth.max():
         late = np.flatnonzero(nth >= step)
@@ -79,31 +86,44 @@ def tokenize(data: np.ndarray, begin: np.ndarray, end: np.ndarray, layout: np.nd
     """(at, record, delimiter, first broken offset or -1, last state) of the records data[begin:end]
 
     at, record: the places that cut a record into columns (line: commas) or into names and values (block: the first
-    colon of each line, and line ends), in order; delimiter: the byte class there.
+    colon of each line, and line ends), in order; delimiter: the byte class there. Chunks are looked at CHUNKS at a
+    time, so that the memory for them is bounded whatever the length of a record.
     """
     chunks = np.maximum(-(-(end - begin) // chunk), 1)
     rec = np.repeat(np.arange(len(begin)), chunks)
     nth = np.arange(len(rec)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-    place = (begin[rec] + nth * chunk)[:, None] + np.arange(chunk)
-    inside = place < end[rec][:, None]
-    classes = np.where(inside, CLASS[data[np.minimum(place, max(len(data) - 1, 0))]] if len(data) else 0, PAD).astype(np.uint8)
-    kind = layout[rec]
-    state = chunk_starts(classes, kind, nth)
-    cut = np.zeros(classes.shape, bool)
-    broke = np.zeros(classes.shape, bool)
-    for j in range(chunk):
-        now = NEXT[kind, classes[:, j], state]
-        c = classes[:, j]
-        cut[:, j] = np.where(kind == 0, (c == COMMA) & (now == COL_START), ((c == COLON) & (state != COLON_SEEN) & (now == COLON_SEEN)) | (c == LF))
-        broke[:, j] = (now == BROKEN) & (state != BROKEN)
-        state = now
-    last = np.zeros(len(begin), np.uint8)
-    last[rec] = state  # the last chunk of a record is written last
-    bad = np.full(len(begin), -1, np.int64)
-    where = np.nonzero(broke)
-    bad[rec[where[0]]] = place[where] - begin[rec[where[0]]]
-    where = np.nonzero(cut)
-    return place[where], rec[where[0]], classes[where], bad, last
+    blocks = [slice(a, a + CHUNKS) for a in range(0, len(rec), CHUNKS)]
+
+    def seen(part: slice) -> tuple[np.ndarray, np.ndarray]:
+        place = (begin[rec[part]] + nth[part] * chunk)[:, None] + np.arange(chunk)
+        inside = place < end[rec[part]][:, None]
+        kinds = CLASS[data[np.minimum(place, len(data) - 1)]] if len(data) else np.zeros(place.shape, np.uint8)
+        return place, np.where(inside, kinds, PAD).astype(np.uint8)
+
+    run = np.empty((len(rec), STATES), np.uint8)
+    for part in blocks:
+        run[part] = chunk_functions(seen(part)[1], layout[rec[part]])
+    starts = chunk_starts(run, nth)
+    bad, last = np.full(len(begin), -1, np.int64), np.zeros(len(begin), np.uint8)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for part in blocks:
+        place, classes = seen(part)
+        own, state = rec[part], starts[part]
+        kind = layout[own]
+        cut, broke = np.zeros(classes.shape, bool), np.zeros(classes.shape, bool)
+        for j in range(chunk):
+            c = classes[:, j]
+            now = NEXT[kind, c, state]
+            cut[:, j] = np.where(kind == 0, (c == COMMA) & (now == COL_START), ((c == COLON) & (state != COLON_SEEN) & (now == COLON_SEEN)) | (c == LF))
+            broke[:, j] = (now == BROKEN) & (state != BROKEN)
+            state = now
+        last[own] = state  # the last chunk of a record is written last
+        where = np.nonzero(broke)
+        bad[own[where[0]]] = place[where] - begin[own[where[0]]]
+        where = np.nonzero(cut)
+        found.append((place[where], own[where[0]], classes[where]))
+    at, owner, what = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+    return at, owner, what, bad, last
 
 
 def _between(data: pa.Buffer, edges: np.ndarray) -> pa.Array:

@@ -126,6 +126,7 @@ def mutated(rnd):
 @pytest.mark.parametrize("chunk", [3, 256])
 def test_records_against_the_rules(chunk, monkeypatch):
     monkeypatch.setattr(raw_records.tokenize, "__defaults__", (chunk,))
+    monkeypatch.setattr(raw_records, "CHUNKS", 37 * chunk)
     rnd = random.Random(chunk)
     cases = [(mutated(rnd), rnd.choice(["line", "block"])) for _ in range(4000)] + [(None, "line"), ("", "block"), ("a", None)]
     layout = np.array([0 if k == "line" else 1 for _, k in cases])
