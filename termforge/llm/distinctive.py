@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from termforge.operators.heavy_keys import heavy_keys, split_by_weight
 from termforge.operators.live_index import collapse, valid_postings
-from termforge.session import durable, stored
+from termforge.session import durable, sized, stored
 
 #: Words at most WINDOW - 1 places apart are joined.
 WINDOW = 4
@@ -58,6 +58,8 @@ def phase_column(word: str = "word", rid: str = "rid"):
     return F.pmod(F.xxhash64(F.xxhash64(word), rid), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
 
+#: Words whose counts are broadcast at most; beyond, rows and counts are shuffled by word.
+STATS_ROWS = 500_000
 #: kind 0: a word of a review; 1: reviews and mentions of a word, in part; 2: number of reviews, in part.
 ROWS, WORDS, REVIEWS = range(3)
 PARTS = "kind int, rid bigint, word string, freq bigint, length bigint, degree bigint, reviews bigint, mentions bigint"
@@ -188,7 +190,7 @@ def distinctive_words(postings: DataFrame, tombstones: DataFrame, min_freq: int
         parts = stored(review_parts(small, window, min_freq).unionByName(rows).unionByName(counts).unionByName(number), "parts")
     stats = parts.where(F.col("kind") == WORDS).groupBy("word").agg(F.sum("reviews").alias("reviews"), F.sum("mentions").alias("mentions"))
     live, mentions = parts.agg(F.sum(F.when(F.col("kind") == REVIEWS, F.col("reviews"))), F.sum(F.when(F.col("kind") == WORDS, F.col("mentions")))).first()
-    found = parts.where(F.col("kind") == ROWS).select("rid", "word", "freq", "length", "degree").join(stats, "word")
+    found = parts.where(F.col("kind") == ROWS).select("rid", "word", "freq", "length", "degree").join(sized(stats, STATS_ROWS), "word")
     score = F.col("degree") * F.log1p(F.lit(live or 0) / F.col("reviews"))
     return found.select("rid", "word", score.alias("score"), "degree", "freq", "length", "reviews", "mentions", F.lit(mentions or 0).cast("bigint").alias("all_mentions"))
 
