@@ -1,10 +1,14 @@
-"""Codes of the inverted index as column expressions: gaps, length-tagged integers, front coding."""
+"""Codes of the inverted index as column expressions: length-tagged integers, front coding."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 #: The largest number a code of 1, 2, 3 or 4 bytes can hold, and the tag in its two upper bits.
 LIMITS = (63, 16383, 4194303, 1073741823)
@@ -29,23 +33,52 @@ def varint_encode(value: Column) -> Column:
     return code
 
 
+def _decoded(streams: Iterator[pd.Series], sums: bool) -> Iterator[pd.Series]:
+    for series in streams:
+        blobs = [bytes(x) if x is not None else None for x in series]
+        data = np.frombuffer(b"".join(x or b"" for x in blobs), np.uint8)
+        size = np.array([len(x or b"") for x in blobs], np.int64)
+        end = np.repeat(np.cumsum(size), size)
+        at = np.arange(len(data))
+        length = (data >> 6).astype(np.int64) + 1
+        # a code begins where a chain of codes from the start of its stream leads: the chains are followed in doubling steps
+        hop = np.append(np.where(at + length < end, at + length, len(data)), len(data))
+        begins = np.zeros(len(data) + 1, bool)
+        begins[(np.cumsum(size) - size)[size > 0]] = True
+        while True:
+            reached = hop[np.flatnonzero(begins)]
+            if begins[reached].all():
+                break
+            begins[reached] = True
+            hop = hop[hop]
+        begin = np.flatnonzero(begins[:-1])
+        if (begin + length[begin] > end[begin]).any():
+            raise ValueError("truncated code")
+        value = (data[begin] & 63).astype(np.int64)
+        for k in range(1, len(LIMITS)):
+            more = np.flatnonzero(length[begin] > k)
+            value[more] = value[more] * 256 + data[begin[more] + k]
+        cuts = np.searchsorted(begin, np.cumsum(size) - size), np.searchsorted(begin, np.cumsum(size))
+        lists = (value[a:b] for a, b in zip(*cuts, strict=True))
+        yield pd.Series([None if x is None else np.cumsum(v) if sums else v for x, v in zip(blobs, lists, strict=True)], dtype=object)
+
+
+def _values(streams: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from _decoded(streams, False)
+
+
+def _running(streams: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from _decoded(streams, True)
+
+
 def varint_decode(stream: Column) -> Column:
-    """The numbers of a stream of codes as an array; a stream that ends inside a code raises an error."""
-    digits = F.hex(stream)
-    size = F.length(stream)
-    at = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    numbers = F.transform(at, lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"))
-    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("value"), F.lit(0).alias("left"))
+    """The numbers of a stream of codes as an array, null for null; a stream that ends inside a code raises an error."""
+    return F.pandas_udf(_values, T.ArrayType(T.LongType()))(stream)
 
-    def step(state: Column, byte: Column) -> Column:
-        fresh = state["left"] == 0
-        more = F.when(fresh, F.shiftright(byte, 6).cast("int")).otherwise(state["left"] - 1)
-        value = F.when(fresh, byte.bitwiseAND(F.lit(63))).otherwise(state["value"] * 256 + byte)
-        done = F.when(more == 0, F.concat(state["done"], F.array(value))).otherwise(state["done"])
-        return F.struct(done.alias("done"), value.alias("value"), more.alias("left"))
 
-    whole = lambda s: F.when(s["left"] == 0, s["done"]).otherwise(F.raise_error(F.lit("truncated code")).cast("array<bigint>"))
-    return F.aggregate(numbers, start, step, whole)
+def varint_decode_sums(stream: Column | str) -> Column:
+    """The running sums of the numbers of a stream: the rids of a coded list of gaps."""
+    return F.pandas_udf(_running, T.ArrayType(T.LongType()))(stream)
 
 
 def int_bytes(value: Column) -> Column:
@@ -53,16 +86,6 @@ def int_bytes(value: Column) -> Column:
     return F.when(value.between(0, (1 << 32) - 1), F.unhex(F.lpad(F.hex(value.cast("bigint")), 8, "0")))
 
 
-def gaps(rid: str = "rid", key: str = "term") -> Column:
-    """Differences of neighbouring rids of a term; the first is the rid itself."""
-    return F.col(rid) - F.lag(rid, 1, 0).over(Window.partitionBy(key).orderBy(rid))
-
-
-def ungap(gap: str = "gap", order: str = "pos", key: str = "term") -> Column:
-    """Running sum of the gaps of a term."""
-    return F.sum(gap).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-
-
 def common_prefix(a: Column, b: Column) -> Column:
     """Characters that a and b have in common at their start."""
     both = F.least(F.length(a), F.length(b))

@@ -32,9 +32,15 @@ def terms(text: Column) -> Column:
     return F.filter(raw_tokens(text), lambda x: F.length(x) <= MAX_TERM)
 
 
+def raw_length(text: Column) -> Column:
+    """Number of all tokens."""
+    tokens = spaced(text)
+    every = F.length(tokens) - F.length(F.replace(tokens, F.lit(" "), F.lit(""))) + 1
+    return F.when(tokens == "", 0).otherwise(every).cast("bigint")
+
+
 def text_length(text: Column) -> Column:
     """Number of kept tokens."""
     tokens = spaced(text)
-    every = F.length(tokens) - F.length(F.replace(tokens, F.lit(" "), F.lit(""))) + 1
     too_long = F.when(F.length(tokens) > MAX_TERM, F.regexp_count(tokens, F.lit(f"[^ ]{{{MAX_TERM + 1},}}"))).otherwise(0)
-    return F.when(tokens == "", 0).otherwise(every - too_long).cast("bigint")
+    return (raw_length(text) - too_long).cast("bigint")

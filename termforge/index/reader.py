@@ -19,6 +19,7 @@ class IndexReader:
         self.catalog = Catalog(spark, root)
         self.manifest = self.catalog.load(version)
         self._dead: DataFrame | None = None
+        self._totals: tuple[int, int] | None = None
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         """All paths in one scan, however many there are."""
@@ -37,7 +38,7 @@ class IndexReader:
 
     def segment_rows(self, segments: list[Segment] | None = None) -> DataFrame:
         """Rows (term, rid, freq) as they are on disk, deleted reviews among them."""
-        return self._read([s.path for s in (self.manifest.segments if segments is None else segments)], POSTINGS)
+        return self._read([s.path for s in (self.manifest.segments if segments is None else segments) if s.rows], POSTINGS)
 
     def postings(self) -> DataFrame:
         """Live rows (term, rid, freq) of all segments and the unflushed tail."""
@@ -47,18 +48,28 @@ class IndexReader:
         """(rid, freq) of a term in order of rid. The term is taken as it is, unless ``normalize``; unknown terms give no rows."""
         term = term.strip().lower() if normalize else term
         # a review's rows are in one segment, or, cut off by a flush, in two that don't share its terms: nothing to add up
-        return self._live(self.segment_rows().where(F.col("term") == F.lit(term))).select("rid", "freq").orderBy("rid")
+        return self._live(self._of_term(term)).select("rid", "freq").orderBy("rid")
+
+    def _of_term(self, term: str) -> DataFrame:
+        """Rows of a term, from the segments that can have it."""
+        having = [s for s in self.manifest.segments if s.rows and s.first <= term <= s.last]
+        return self.segment_rows(having).where(F.col("term") == F.lit(term))
 
     def terms(self, words: DataFrame) -> DataFrame:
         """(term, rid, freq) of all terms in a column ``term``; a list longer than can be broadcast is joined by shuffle."""
         wanted = words.select("term").where(F.length("term") <= MAX_TERM).distinct()
         return self._live(self.segment_rows().join(sized(wanted), "term", "left_semi"))
 
+    def word_counts(self, words: DataFrame) -> DataFrame:
+        """(term, mentions, reviews) of each different term in a column ``term``; 0 and 0 for what the index doesn't have."""
+        found = self.terms(words).groupBy("term").agg(F.sum("freq").alias("mentions"), F.count(F.lit(1)).alias("reviews"))
+        return words.select("term").distinct().join(found, "term", "left").select("term", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("mentions", "reviews")))
+
     def mentions(self, term: str) -> int:
-        return self.postings().where(F.col("term") == F.lit(term)).agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
+        return self._live(self._of_term(term)).agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
 
     def reviews_with(self, term: str) -> int:
-        return self.postings().where(F.col("term") == F.lit(term)).count()
+        return self._live(self._of_term(term)).count()
 
     def meta(self) -> DataFrame:
         """Metadata of live reviews."""
@@ -74,11 +85,23 @@ class IndexReader:
         """(rid, freq, metadata) of the reviews with a term."""
         return self.term(term).join(self.meta(), "rid")
 
+    def totals(self) -> tuple[int, int]:
+        """(live reviews, their kept terms): from the manifest where nothing is deleted, else counted once for each reader."""
+        if not self.manifest.tombstones:
+            return self.manifest.reviews, self.manifest.tokens
+        if self._totals is None:
+            self._totals = tuple(self.meta().agg(F.count(F.lit(1)), F.coalesce(F.sum("review_length"), F.lit(0))).first())
+        return self._totals
+
     def total_reviews(self) -> DataFrame:
-        return self.meta().agg(F.count(F.lit(1)).alias("reviews"))
+        return self.spark.createDataFrame([(self.totals()[0],)], "reviews bigint")
 
     def total_tokens(self) -> DataFrame:
-        return self.meta().agg(F.coalesce(F.sum("review_length"), F.lit(0)).alias("tokens"))
+        return self.spark.createDataFrame([(self.totals()[1],)], "tokens bigint")
+
+    def raw_tokens(self) -> int:
+        """Tokens of all reviews in the metadata files, those too long for a term among them."""
+        return self.manifest.raw_tokens
 
     def reviews_indexed(self) -> int:
         """Reviews that ever came in, deleted ones too."""

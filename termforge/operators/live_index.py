@@ -30,10 +30,11 @@ def valid_postings(postings: DataFrame, tombstones: DataFrame) -> DataFrame:
     )
 
 
-def collapse(valid: DataFrame) -> DataFrame:
+def collapse(valid: DataFrame, *more: str) -> DataFrame:
     """(word, rid, freq): one of the rows alike in word, rid and flush_id (the largest freq), then the sum per word and rid.
 
-    The input must be partitioned by a subset of (word, rid); then neither aggregation shuffles.
+    ``more`` are columns that follow from word and rid. If the input is partitioned by some of these, word and rid,
+    neither aggregation shuffles.
     """
-    once = valid.groupBy("word", "rid", "flush_id").agg(F.max("freq").alias("freq"))
-    return once.groupBy("word", "rid").agg(F.sum("freq").alias("freq"))
+    once = valid.groupBy("word", "rid", *more, "flush_id").agg(F.max("freq").alias("freq"))
+    return once.groupBy("word", "rid", *more).agg(F.sum("freq").alias("freq"))

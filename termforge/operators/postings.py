@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termforge.functions import codec
 from termforge.functions.tokens import MAX_TERM, spaced, text_length
-from termforge.operators.numbering import running
+from termforge.operators.numbering import gap_encode, running
 
 META = ["rid", "product_id", "score", "helpfulness_num", "helpfulness_den", "review_length"]
 
 
-def build_postings(reviews: DataFrame) -> DataFrame:
+#: Rids of a block of a nested postings list.
+NESTED_RIDS = 1 << 16
+
+
+def build_postings(reviews: DataFrame, unique: bool = False) -> DataFrame:
     """(term, rid, freq) of reviews (rid, text): every kept term with its number of mentions in the review.
 
     A null or empty text has no postings; rows of one rid add up; a null rid is left out; extra columns are ignored.
+    unique: no two rows have one rid; then terms are counted inside the row, and nothing is shuffled.
     """
-    tokens = reviews.where(F.col("rid").isNotNull()).select(F.col("rid").cast("bigint").alias("rid"), F.explode(F.split(spaced(F.col("text")), " ")).alias("term"))
-    tokens = tokens.where((F.col("term") != "") & (F.length("term") <= MAX_TERM))
-    return tokens.groupBy("term", "rid").agg(F.count(F.lit(1)).alias("freq"))
+    rows = reviews.where(F.col("rid").isNotNull()).select(F.col("rid").cast("bigint").alias("rid"), F.split(spaced(F.col("text")), " ").alias("tokens"))
+    if not unique:
+        tokens = rows.select("rid", F.explode("tokens").alias("term")).where((F.col("term") != "") & (F.length("term") <= MAX_TERM))
+        return tokens.groupBy("term", "rid").agg(F.count(F.lit(1)).alias("freq"))
+    rows = rows.select("rid", F.sort_array("tokens").alias("t"))
+    # equal terms are neighbours: a term begins where the one before is another, and ends where the next begins
+    begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    ends = F.slice(F.concat(begins, F.array(F.size("t"))), 2, 1 << 30)
+    counted = F.zip_with(begins, ends, lambda a, b: F.struct(F.get("t", a).alias("term"), (b - a).cast("bigint").alias("freq")))
+    return rows.select("rid", F.explode(counted).alias("x")).select("x.term", "rid", "x.freq").where((F.col("term") != "") & (F.length("term") <= MAX_TERM))
 
 
-def build_meta(reviews: DataFrame) -> DataFrame:
-    """One row per row of reviews with its fields and its length in kept terms; a null text has length 0."""
-    return reviews.select("rid", "product_id", "score", "helpfulness_num", "helpfulness_den", text_length(F.col("text")).alias("review_length"))
+def build_meta(reviews: DataFrame, *more: Column) -> DataFrame:
+    """One row per row of reviews with its fields, its length in kept terms and what more is asked; a null text has length 0."""
+    return reviews.select("rid", "product_id", "score", "helpfulness_num", "helpfulness_den", text_length(F.col("text")).alias("review_length"), *more)
 
 
-def nested(postings: DataFrame) -> DataFrame:
-    """(term, rids, freqs): the postings lists as arrays in order of rid; lists of very frequent terms are long values."""
-    lists = postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("rid", "freq"))).alias("p"))
-    return lists.select("term", F.col("p.rid").alias("rids"), F.col("p.freq").alias("freqs"))
+def nested(postings: DataFrame, block: int = NESTED_RIDS) -> DataFrame:
+    """(term, block, rids, freqs): the postings lists as arrays in order of rid, cut into blocks of so many rids, whatever a term's number of reviews."""
+    lists = postings.groupBy("term", F.expr(f"rid div {block}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("rid", "freq"))).alias("p"))
+    return lists.select("term", "block", F.col("p.rid").alias("rids"), F.col("p.freq").alias("freqs"))
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:
@@ -55,8 +67,7 @@ def with_terms(coded: DataFrame, words: DataFrame) -> DataFrame:
 
 def encoded_bytes(postings: DataFrame) -> DataFrame:
     """(term, gap_bytes, freq_bytes): bytes of the coded postings list of each term."""
-    rows = postings.withColumn("gap", codec.gaps())
-    return rows.groupBy("term").agg(F.sum(codec.varint_length(F.col("gap"))).alias("gap_bytes"), F.sum(codec.varint_length(F.col("freq"))).alias("freq_bytes"))
+    return gap_encode(postings).groupBy("term").agg(F.sum(codec.varint_length(F.col("gap"))).alias("gap_bytes"), F.sum(codec.varint_length(F.col("freq"))).alias("freq_bytes"))
 
 
 def front_coded(words: DataFrame) -> DataFrame:

@@ -12,11 +12,15 @@ from termforge.functions import codec, tokens
 from termforge.index.reader import IndexReader
 from termforge.index.writer import LogMergeWriter, SimpleMergeWriter
 from termforge.operators import layout, postings
+from termforge.operators.numbering import gap_decode, gap_encode
+from termforge.plans import workload
 from termforge.sources import reviews as source
-from termforge.session import durable, spread, table, work_path
+from termforge.session import durable, sized, spread, table, work_path
 
 #: Rows of a flush, and inserts after the first build, in the lifecycle queries; rids of a block in varint_roundtrip.
 CAPACITY, INSERTS, RID_BLOCK = 20_000, 4, 512
+#: Inserts and rows of a flush in the workload query.
+STEPS, STEP_CAPACITY = 2, 8192
 
 
 def reviews(spark: SparkSession, d: str) -> DataFrame:
@@ -44,16 +48,19 @@ def index(spark: SparkSession, d: str, kind: str) -> tuple[str, int]:
     key = (spark.sparkContext.applicationId, d, kind)
     if key not in _BUILT:
         root = work_path(spark, f"index-{kind}")
-        writer = SimpleMergeWriter(spark, root) if kind == "simple" else LogMergeWriter(spark, root, CAPACITY)
         dealt = durable(source.batches(reviews(spark, d), INSERTS))
+        # a fifth of all rows: the last but one insert completes the fourth flush, which merges everything
+        capacity = postings.build_postings(dealt, unique=True).count() // 5 + 1 if kind == "log-cleared" else CAPACITY
+        writer = SimpleMergeWriter(spark, root) if kind == "simple" else LogMergeWriter(spark, root, capacity)
         dead = table(spark, d, "tombstones")
         writer.construct(dealt.where("batch = 0").drop("batch"))
         for k in range(1, INSERTS + 1):
             writer.insert(dealt.where(F.col("batch") == k).drop("batch"))
-            if kind == "log-early" and k == 2:
+            if kind in ("log-early", "log-cleared") and k == 2:
                 writer.remove(dead)
         version = writer.catalog.versions()[-1]
-        writer.remove(dead)
+        if kind != "log-cleared":
+            writer.remove(dead)
         _BUILT[key] = (root, version)
     return _BUILT[key]
 
@@ -79,13 +86,12 @@ def index_compacted(spark: SparkSession, d: str) -> IndexReader:
 
 def _found(spark: SparkSession, d: str, r: IndexReader) -> DataFrame:
     asked = words(spark, d)
-    return r.terms(asked).join(F.broadcast(asked), "term").select("word_id", "term", "rid", "freq")  # a fixed list of words
+    return r.terms(asked).join(sized(asked), "term").select("word_id", "term", "rid", "freq")
 
 
-def _counted(spark: SparkSession, d: str, what, name: str) -> DataFrame:
+def _counted(spark: SparkSession, d: str, name: str) -> DataFrame:
     asked = words(spark, d)
-    counts = reader(spark, d).terms(asked).groupBy("term").agg(what.alias(name))
-    return asked.join(counts, "term", "left").select("word_id", "term", F.coalesce(name, F.lit(0)).cast("bigint").alias(name))
+    return asked.join(reader(spark, d).word_counts(asked), "term").select("word_id", "term", name)
 
 
 def _meta(column: str) -> Callable:
@@ -95,7 +101,7 @@ def _meta(column: str) -> Callable:
 def postings_nested(spark: SparkSession, d: str) -> DataFrame:
     n = postings.nested(rows(spark, d))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-    return n.select("term", joined("rids").alias("rids"), joined("freqs").alias("freqs"))
+    return n.select("term", "block", joined("rids").alias("rids"), joined("freqs").alias("freqs"))
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
@@ -119,58 +125,64 @@ def flushes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def logmerge_layout(spark: SparkSession, d: str) -> DataFrame:
-    full = flushes(spark, d).groupBy("flush").count().where(F.col("count") == CAPACITY).select("flush")
-    total = full.agg(F.count(F.lit(1)).alias("n"))
-    return full.join(F.broadcast(total)).select("flush", layout.level(F.col("flush"), F.col("n")).alias("level"))  # one row
-
-
-def gap_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("term").orderBy("rid"))
-    coded = rows(spark, d).select("term", codec.gaps().alias("gap"), "freq", at.alias("pos"))
-    return coded.select("term", codec.ungap().alias("rid"), "freq")
+    full = durable(flushes(spark, d).groupBy("flush").count().where(F.col("count") == CAPACITY).select("flush"))
+    return full.select("flush", layout.level(F.col("flush"), F.lit(full.count()).cast("bigint")).alias("level"))
 
 
 def varint_encode(spark: SparkSession, d: str) -> DataFrame:
-    values = rows(spark, d).select(codec.gaps().alias("value"), "freq")
-    values = values.select("value").unionByName(values.select(F.col("freq").alias("value"))).distinct()
+    values = gap_encode(rows(spark, d)).select(F.explode(F.array("gap", "freq")).alias("value")).distinct()
     return values.select("value", F.hex(codec.varint_encode(F.col("value"))).alias("code"))
 
 
 def varint_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Lists in blocks of RID_BLOCK rids, coded, decoded and summed up again."""
     blocked = rows(spark, d).withColumn("block", F.expr(f"rid div {RID_BLOCK}"))
-    gap = F.col("rid") - F.lag("rid", 1, 0).over(Window.partitionBy("term", "block").orderBy("rid"))
+    gap = F.col("rid") - F.lag("rid", 1, 0).over(Window.partitionBy("term", "block").orderBy("rid"))  # at most RID_BLOCK rows
     coded = blocked.select("term", "block", "rid", F.hex(codec.varint_encode(gap)).alias("code"))
     stream = coded.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("rid", "code"))).alias("c")).select("term", "block", F.unhex(F.array_join("c.code", "")).alias("stream"))
-    gaps = stream.select("term", "block", codec.varint_decode(F.col("stream")).alias("gaps"))
-    sums = F.transform("gaps", lambda _, i: F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x).cast("string"))
-    return gaps.select("term", "block", F.array_join(sums, " ").alias("rids"))
+    rids = codec.varint_decode_sums("stream")
+    return stream.select("term", "block", F.array_join(F.transform(rids, lambda x: x.cast("string")), " ").alias("rids"))
 
 
 def _dump(spark: SparkSession, d: str) -> DataFrame:
     path = work_path(spark, "dump")
-    r = reviews(spark, d)
-    line = F.concat(
-        F.lit("product/productId: "), "product_id", F.lit("\nreview/userId: U1\nreview/helpfulness: "), F.col("helpfulness_num").cast("string"), F.lit("/"), F.col("helpfulness_den").cast("string"),
-        F.lit("\nreview/score: "), F.col("score").cast("string"), F.lit(".0\nreview/text: "), F.concat(F.col("rid").cast("string"), F.lit(": "), F.regexp_replace("text", "[\r\n]", " ")),
-    )
-    r.select(line.alias("value")).write.option("lineSep", "\n\n").text(path)
+    tagged = reviews(spark, d).withColumn("text", F.concat(F.col("rid").cast("string"), F.lit(": "), "text"))
+    source.write_dump(tagged, path)
     return source.read_dump(spark, path)
 
 
+def snap_build(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of an index built from dump files, one half with LF, the other with CRLF ends of lines."""
+    r = durable(reviews(spark, d))
+    half = (r.agg(F.max("rid")).first()[0] or 0) // 2
+    writer = SimpleMergeWriter(spark, work_path(spark, "index-dump"))
+    paths = work_path(spark, "dump"), work_path(spark, "dump")
+    source.write_dump(r.where(F.col("rid") <= half), paths[0])
+    source.write_dump(r.where(F.col("rid") > half), paths[1], "\r\n")
+    writer.construct(paths[0])
+    writer.insert(paths[1])
+    return IndexReader(spark, writer.catalog.root).postings()
+
+
 def snap_parse(spark: SparkSession, d: str) -> DataFrame:
     got = _dump(spark, d)
-    return got.select(F.expr("cast(split_part(text, ':', 1) AS bigint)").alias("rid"), "product_id", *(F.col(c).cast("bigint").alias(c) for c in ("helpfulness_num", "helpfulness_den", "score")), F.expr("trim(substring(text, instr(text, ':') + 1))").alias("text"))
+    return got.select(F.expr("cast(split_part(text, ':', 1) AS bigint)").alias("rid"), "product_id", *(F.col(c).cast("bigint").alias(c) for c in ("helpfulness_num", "helpfulness_den", "score")), F.trim(F.expr("substring(text, instr(text, ':') + 1)"), F.lit(" \t")).alias("text"))
 
 
 def snap_malformed(spark: SparkSession, d: str) -> DataFrame:
     """Problems of the blocks of the raw table, written as a dump and read again."""
     path = work_path(spark, "dump")
-    table(spark, d, "raw_reviews").where("layout = 'block' AND record IS NOT NULL").select(F.regexp_replace("record", "(\r?\n)+", "\n").alias("value")).write.option("lineSep", "\n\n").text(path)
+    table(spark, d, "raw_reviews").where("layout = 'block' AND record IS NOT NULL").select(F.regexp_replace("record", "(\r?\n)([ \t]*\r?\n)+", "$1").alias("value")).write.option("lineSep", "\n\n").text(path)
     got = source.read_dump(spark, path)
     return got.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count(F.lit(1)).alias("records"))
 
 
+def workload_steps(spark: SparkSession, d: str) -> DataFrame:
+    """(strategy, step, reviews, segments) of the maintenance workload, from files: what doesn't depend on time."""
+    files = workload.prepare(spark, d, STEPS)
+    return workload.results(spark, workload.run(spark, *files, [], (STEP_CAPACITY,))).where("metric IN ('reviews', 'segments')").groupBy("strategy", "step").pivot("metric", ["reviews", "segments"]).agg(F.first("value").cast("bigint"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "tokens_sorted": lambda s, d: reviews(s, d).select("rid", F.array_join(tokens.sorted_tokens(F.col("text")), " ").alias("tokens")),
@@ -187,8 +199,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "term_lookup_segments": lambda s, d: _found(s, d, reader(s, d, before_delete=True)),
         "term_lookup_logmerge": lambda s, d: _found(s, d, reader(s, d, "log-early")),
         "term_lookup_after_delete": lambda s, d: _found(s, d, reader(s, d)),
-        "term_mentions": lambda s, d: _counted(s, d, F.sum("freq"), "mentions"),
-        "term_doc_count": lambda s, d: _counted(s, d, F.count(F.lit(1)), "reviews"),
+        "term_mentions": lambda s, d: _counted(s, d, "mentions"),
+        "term_doc_count": lambda s, d: _counted(s, d, "reviews"),
         "term_with_meta": lambda s, d: reader(s, d).with_meta("the"),
         "meta_product_id": _meta("product_id"),
         "meta_score": _meta("score"),
@@ -198,15 +210,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "meta_live": lambda s, d: reader(s, d).meta(),
         "total_reviews": lambda s, d: reader(s, d).total_reviews(),
         "total_tokens": lambda s, d: reader(s, d).total_tokens(),
+        "total_raw_tokens": lambda s, d: s.createDataFrame([(reader(s, d, before_delete=True).raw_tokens(),)], "tokens bigint"),
         "reviews_indexed": lambda s, d: s.createDataFrame([(reader(s, d).reviews_indexed(),)], "reviews bigint"),
         "delete_append": lambda s, d: reader(s, d).tombstones(),
         "merge_all": lambda s, d: index_compacted(s, d).segment_rows(),
+        "meta_compacted": lambda s, d: index_compacted(s, d).meta(),
+        "meta_cleared": lambda s, d: reader(s, d, "log-cleared").meta(),
         "merge_partial": segments,
         "logmerge_flush": flushes,
         "logmerge_layout": logmerge_layout,
         "logmerge_segment_count": lambda s, d: s.createDataFrame([(reader(s, d, "log", True).segment_count(),)], "segments bigint"),
-        "gap_encode": lambda s, d: rows(s, d).select("term", "rid", codec.gaps().alias("gap")),
-        "gap_roundtrip": gap_roundtrip,
+        "gap_encode": lambda s, d: gap_encode(rows(s, d)).select("term", "rid", "gap"),
+        "gap_roundtrip": lambda s, d: gap_decode(gap_encode(rows(s, d)).drop("rid")),
         "varint_encode": varint_encode,
         "varint_roundtrip": varint_roundtrip,
         "postings_bytes": lambda s, d: postings.encoded_bytes(rows(s, d)),
@@ -216,6 +231,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dict_pointers": lambda s, d: postings.pointers(rows(s, d)),
         "snap_parse": snap_parse,
         "snap_malformed": snap_malformed,
+        "snap_build": snap_build,
+        "workload_steps": workload_steps,
     }
 
 
@@ -253,7 +270,7 @@ levels AS (SELECT flush, CAST(length(bin(xor(flush, n))) - 1 AS BIGINT) AS level
         "vocab": base + "SELECT DISTINCT term FROM post",
         "postings_build": base + "SELECT term, rid, freq FROM post",
         "postings_sorted": base + "SELECT term, rid, freq FROM post ORDER BY term, rid",
-        "postings_nested": base + "SELECT term, string_agg(CAST(rid AS VARCHAR), ' ' ORDER BY rid) AS rids, string_agg(CAST(freq AS VARCHAR), ' ' ORDER BY rid) AS freqs FROM post GROUP BY term",
+        "postings_nested": base + f"SELECT term, rid // {postings.NESTED_RIDS} AS block, string_agg(CAST(rid AS VARCHAR), ' ' ORDER BY rid) AS rids, string_agg(CAST(freq AS VARCHAR), ' ' ORDER BY rid) AS freqs FROM post GROUP BY ALL",
         "dict_encode": base + "SELECT term, tid FROM dict",
         "id_encode": base + "SELECT tid, rid, freq FROM post JOIN dict USING (term)",
         "id_roundtrip": base + "SELECT term, rid, freq FROM post",
@@ -272,6 +289,13 @@ levels AS (SELECT flush, CAST(length(bin(xor(flush, n))) - 1 AS BIGINT) AS level
         "meta_live": base + "SELECT * FROM live_meta",
         "total_reviews": base + "SELECT count(*) AS reviews FROM live_meta",
         "total_tokens": base + "SELECT CAST(sum(review_length) AS BIGINT) AS tokens FROM live_meta",
+        "total_raw_tokens": base + "SELECT CAST(sum(len(raw)) AS BIGINT) AS tokens FROM toks",
+        "meta_compacted": base + "SELECT * FROM live_meta",
+        # deleted after the second insert, when reviews up to there were known
+        "meta_cleared": base + f", cut AS (SELECT max(rid) FILTER (WHERE rid <= n * 2 // 5 OR (rid - n * 2 // 5 - 1) * {INSERTS} // (n - n * 2 // 5) + 1 <= 2) AS upto FROM rev, (SELECT max(rid) AS n FROM rev)) SELECT * FROM meta WHERE rid NOT IN (SELECT rid FROM dead WHERE rid <= (SELECT upto FROM cut))",
+        "snap_build": base + "SELECT term, rid, freq FROM post",
+        "snap_malformed": f"WITH l AS (SELECT list_filter(regexp_split_to_array(record, '\r\n|\n|\r'), lambda x: trim(x, ' ' || chr(9)) <> '') AS lines FROM raw_reviews WHERE layout = 'block' AND record IS NOT NULL), f AS (SELECT lines, {', '.join(f"list_filter(lines, lambda x: starts_with(x, '{name}:')) AS f{k}" for k, name in enumerate(source.FIELDS))} FROM l WHERE len(lines) > 0), v AS (SELECT len(list_filter(lines, lambda x: NOT contains(x, ':'))) > 0 AS bare, {', '.join(f"CASE WHEN len(f{k}) = 1 THEN trim(substr(f{k}[1], {len(name) + 2}), ' ' || chr(9) || chr(10) || chr(13)) END AS v{k}" for k, name in enumerate(source.FIELDS))} FROM f), n AS (SELECT *, coalesce(regexp_full_match(trim(split_part(v1, '/', 1), ' ' || chr(9)), '-?[0-9]{{1,9}}'), false) AND coalesce(regexp_full_match(trim(split_part(v1, '/', 2), ' ' || chr(9)), '-?[0-9]{{1,9}}'), false) AS help, coalesce(regexp_full_match(trim(split_part(v2, '.', 1), ' ' || chr(9)), '-?[0-9]{{1,9}}'), false) AS score FROM v) SELECT CASE WHEN bare THEN 'line' WHEN v0 IS NULL THEN '{source.FIELDS[0]}' WHEN NOT help THEN '{source.FIELDS[1]}' WHEN NOT score THEN '{source.FIELDS[2]}' WHEN v3 IS NULL THEN '{source.FIELDS[3]}' ELSE 'none' END AS problem, count(*) AS records FROM n GROUP BY ALL",
+        "workload_steps": base + f", b AS (SELECT rid, CASE WHEN rid <= n * 2 // 5 THEN 0 ELSE (rid - n * 2 // 5 - 1) * {STEPS} // (n - n * 2 // 5) + 1 END AS step FROM rev, (SELECT max(rid) AS n FROM rev)), c AS (SELECT step, max(rid) AS reviews FROM b GROUP BY step), p AS (SELECT step, (SELECT count(*) FROM post WHERE rid <= c.reviews) AS n, reviews FROM c) SELECT 'simple' AS strategy, CAST(step AS INT) AS step, CAST(reviews AS BIGINT) AS reviews, CAST(step + 1 AS BIGINT) AS segments FROM p UNION ALL SELECT 'log', CAST(step AS INT), CAST(reviews AS BIGINT), CAST(bit_count(n // {STEP_CAPACITY}) AS BIGINT) FROM p UNION ALL SELECT 'simple', {STEPS + 1}, max(reviews), 1 FROM p",
         "reviews_indexed": base + "SELECT max(rid) AS reviews FROM rev",
         "delete_append": base + "SELECT rid FROM dead",
         "merge_all": base + "SELECT term, rid, freq FROM live",
@@ -288,5 +312,5 @@ levels AS (SELECT flush, CAST(length(bin(xor(flush, n))) - 1 AS BIGINT) AS level
         "front_code": base + "SELECT term, block, pos, prefix_len, suffix FROM coded",
         "front_code_roundtrip": base + "SELECT block, pos, term FROM blocks",
         "dict_pointers": base + "SELECT term, block, pos, CAST(coalesce(sum(gap_bytes + freq_bytes) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS postings_ptr, gap_bytes + freq_bytes AS postings_len, CAST(first_value(before) OVER (PARTITION BY block ORDER BY pos) AS BIGINT) AS string_ptr FROM (SELECT *, coalesce(sum(length(suffix)) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM coded) JOIN bytes USING (term)",
-        "snap_parse": base + "SELECT rid, product_id, helpfulness_num, helpfulness_den, score, trim(regexp_replace(text, '[\\r\\n]', ' ', 'g')) AS text FROM rev",
+        "snap_parse": base + "SELECT rid, product_id, helpfulness_num, helpfulness_den, score, trim(regexp_replace(text, '[\\r\\n]', ' ', 'g'), ' ' || chr(9)) AS text FROM rev",
     }

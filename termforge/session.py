@@ -15,19 +15,35 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a new local folder serves, if driver and executors are one process (tests); on a cluster that is
+    an error.
+    """
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="termforge-")
-        spark.sparkContext.setCheckpointDir(found)
+        sc.setCheckpointDir(found)
     return found
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The application's own folder for intermediate tables, in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/termforge-{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nobody used yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path in the application's folder that nobody used yet."""
+    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables; for the caller, when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -41,7 +57,7 @@ def durable(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to a new table in the shared folder and read again: a cut of the lineage that takes little disk."""
     path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@ import pytest
 
 from termforge.functions import codec, tokens
 from termforge.operators import postings
-from termforge.operators.numbering import running
+from termforge.operators.numbering import gap_decode, gap_encode, running
 
 
 def test_tokens(spark):
@@ -36,6 +36,8 @@ def test_int_bytes(spark):
 def test_varint_stream(spark):
     df = spark.createDataFrame([("".join(BOUNDS.values()),), ("",)], "h string").select(codec.varint_decode(F.unhex("h")).alias("d"))
     assert [r.d for r in df.collect()] == [list(BOUNDS), []]
+    many = spark.createDataFrame([("4040" * 3000,), (None,), ("3F",)], "h string").select(codec.varint_decode_sums(F.unhex("h")).alias("d")).collect()
+    assert many[0].d == [64 * k for k in range(1, 3001)] and many[1].d is None and many[2].d == [63]
     with pytest.raises(Exception, match="truncated"):
         spark.createDataFrame([("40",)], "h string").select(codec.varint_decode(F.unhex("h")).alias("d")).collect()
 
@@ -61,3 +63,25 @@ def test_empty_postings(spark):
     none = spark.createDataFrame([], "rid bigint, text string")
     rows = postings.build_postings(none)
     assert rows.count() == 0 and postings.pointers(rows).count() == 0 and postings.nested(rows).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 5])
+def test_gaps_of_lists_over_many_partitions(spark, hot):
+    """One list holds a half of the rows, or all, over many small partitions and batches."""
+    data = [(f"t{i % hot}" if i % 2 else "hot", 7 * i + 3, 1 + i % 3) for i in range(2000)] + [("zz", 1, 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        df = spark.createDataFrame(data, "term string, rid bigint, freq bigint")
+        coded = gap_encode(df)
+        before, want = {}, []
+        for n, (t, r, f) in enumerate(sorted(data)):
+            want.append((t, r, f, r - before.get(t, 0), n))
+            before[t] = r
+        assert sorted(map(tuple, coded.collect())) == want
+        assert sorted(map(tuple, gap_decode(coded.drop("rid")).collect())) == sorted(data)
+        assert gap_decode(gap_encode(df.limit(0)).drop("rid")).count() == 0
+    finally:
+        for name in ("shuffle.partitions", "adaptive.coalescePartitions.enabled", "execution.arrow.maxRecordsPerBatch"):
+            spark.conf.set(f"spark.sql.{name}", "4") if name[0] == "s" else spark.conf.unset(f"spark.sql.{name}")

@@ -39,13 +39,17 @@ def test_word_stats_with_heavy_words(spark):
     assert rows(heavy_keys.word_stats(df, tombs)) == sorted(((w, *n) for w, n in want.items()), key=repr)
     heavy = {r.word for r in heavy_keys.heavy_keys(df, "word", 0.1).collect()}
     assert heavy == {"hot", " HOT "}
+    for share in (1e-4, 0.3):  # all words are heavy, or none is
+        assert rows(heavy_keys.word_stats(df, tombs, share)) == sorted(((w, *n) for w, n in want.items()), key=repr)
+    with pytest.raises(ValueError, match="share"):
+        heavy_keys.heavy_keys(df, "word", 1e-7)
 
 
 def test_word_stats_of_empty_tables(spark):
     none, dead = spark.createDataFrame([], POSTING), spark.createDataFrame([], "rid bigint")
     assert heavy_keys.word_stats(none, dead).count() == 0
     assert heavy_keys.frequent_words(heavy_keys.word_stats(none, dead), 0.1).count() == 0
-    assert heavy_keys.heavy_keys(none, "word").count() == 0
+    assert heavy_keys.heavy_keys(none, "word", 0.1).count() == 0
 
 
 def slow_reason(record, layout):
