@@ -1,9 +1,11 @@
 """Filling containers of fixed capacity with items by multiway differencing.
 
-Items are dealt to groups of about WINDOWS containers by a hash, so that every group is bounded whatever the input
-holds; each group is packed by itself by the Karmarkar-Karp method: the two partial partitions with the largest
-imbalance are merged, the fullest window of one with the emptiest of the other, until one partition is left. If its
-fullest window is over capacity, the number of windows rises and it starts again. Only the sizes are shuffled.
+What an item has above capacity fills containers by itself, which are numbered by running sums. The rests and all other
+items are dealt to groups of about WINDOWS containers by a hash; each group is packed by itself by the Karmarkar-Karp
+method: the two partial partitions with the largest imbalance are merged, the fullest window of one with the emptiest of
+the other, until one partition is left. If its fullest window is over capacity, the number of windows rises and it
+starts again. Items that are tiny beside the capacity are bundled first, so that a group's work is bounded by its
+containers, however many items it has. Only the sizes are shuffled.
 """
 
 from __future__ import annotations
@@ -15,10 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termforge.operators.numbering import running
+from termforge.session import stored
+
 #: Containers that a group fills; the last of them is left partly empty, so more of them waste less.
 WINDOWS = 192
-#: Containers of one group have numbers from group * GROUP_STEP on.
-GROUP_STEP = 1 << 20
+#: Containers of one group have numbers from group * GROUP_STEP on; a group has fewer rows than that.
+GROUP_STEP = 1 << 32
+#: Items below that part of the capacity are bundled up to that size.
+TINY = 64
+#: Items that a task packs, as far as there are groups to share out.
+TASK_ITEMS = 200_000
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -67,6 +76,18 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def bundles(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The bundle of each item, numbers from 0: tiny items together up to twice capacity / TINY, any other by itself."""
+    least = max(1, capacity // TINY)
+    tiny = sizes < least
+    own = np.cumsum(np.where(tiny, sizes, 0)) // least
+    _, bundle = np.unique(own[tiny], return_inverse=True)
+    out = np.empty(len(sizes), np.int64)
+    out[tiny] = bundle
+    out[~tiny] = (bundle.max() + 1 if len(bundle) else 0) + np.arange((~tiny).sum())
+    return out
+
+
 def pack_group(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The container of each item; no item is above capacity."""
     total = int(sizes.sum())
@@ -83,29 +104,34 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, windows: i
     """(container, id, start, size): every item with a size above 0 in one container, or, above capacity, in several.
 
     An item above capacity fills containers by itself as often as it can, and its rest is packed like any other item;
-    start is where in the item a piece begins. Sizes that are null, 0 or negative are left out. Repeated rows are items
-    of their own, a null id is kept; an empty table gives an empty result; extra columns are ignored. The sizes are read twice: once for
-    the number of groups.
+    start is where in the item a piece begins. Container numbers are unique, but not without gaps. Sizes that are null,
+    0 or negative are left out. Repeated rows are items of their own, a null id is kept; an empty table gives an empty
+    result; extra columns are ignored.
     """
     sizes = items.select(F.col(id_col).cast("bigint").alias("id"), F.col(size_col).cast("bigint").alias("size")).where(F.col("size") > 0)
-    total = sizes.agg(F.sum(F.col("size") % capacity)).first()[0] or 0
-    number = max(1, -(-total // (capacity * windows)))
-    # a row's whole containers keep the group of its rest; the salt spreads repeated rows of one id
-    grouped = sizes.withColumn("grp", F.pmod(F.xxhash64("id", "size", F.monotonically_increasing_id()), F.lit(number)))
+    sizes = stored(sizes, "sizes")
+    rest = F.col("size") % capacity
+    total, number, whole = sizes.agg(F.sum(rest), F.count_if(rest > 0), F.sum(F.expr(f"size div {capacity}"))).first()
+    groups = max(1, -(-(total or 0) // (capacity * windows)))
+    tasks = min(groups, max(sizes.sparkSession.sparkContext.defaultParallelism, -(-number // TASK_ITEMS)))
+    # the salt spreads repeated rows of one id
+    grouped = sizes.where(rest > 0).withColumn("grp", F.pmod(F.xxhash64("id", "size", F.monotonically_increasing_id()), F.lit(groups)))
     schema = pa.schema([("container", pa.int64()), (id_col, pa.int64()), ("start", pa.int64()), (size_col, pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "ascending"), ("id", "ascending")]).combine_chunks()
-        ids, size = table.column("id"), table.column("size").to_numpy()
-        group = table.column("grp")[0].as_py()
-        full, rest = size // capacity, size % capacity
-        at = np.flatnonzero(rest)
-        where = pack_group(rest[at], capacity) if len(at) else np.zeros(0, np.int64)
-        used = int(where.max()) + 1 if len(at) else 0
-        item = np.repeat(np.arange(len(size)), full)
-        nth = np.arange(len(item)) - np.repeat(np.cumsum(full) - full, full)
-        container = np.concatenate([where, used + np.arange(len(item))]) + group * GROUP_STEP
-        places, counts = np.concatenate([full[at] * capacity, nth * capacity]), np.concatenate([rest[at], np.full(len(item), capacity)])
-        return pa.table([pa.array(container), ids.take(pa.array(np.concatenate([at, item]))), pa.array(places), pa.array(counts)], schema=schema)
-
-    return grouped.groupBy("grp").applyInArrow(run, f"container bigint, `{id_col}` bigint, start bigint, `{size_col}` bigint")
+        size = table.column("size").to_numpy()
+        left = size % capacity
+        bundle = bundles(left, capacity)
+        where = pack_group(np.bincount(bundle, left).astype(np.int64), capacity)[bundle]
+        container = where + table.column("grp")[0].as_py() * GROUP_STEP
+        return pa.table([pa.array(container), table.column("id"), pa.array(size - left), pa.array(left)], schema=schema)
+
+    packed = grouped.repartition(tasks, "grp").groupBy("grp").applyInArrow(run, f"container bigint, `{id_col}` bigint, start bigint, `{size_col}` bigint")
+    if not whole:
+        return packed
+    large = running(sizes.where(F.col("size") >= capacity).withColumn("full", F.expr(f"size div {capacity}")), ["id", "size"], {"first": "full"})
+    each = large.select("id", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("k"))
+    # the numbers of whole containers end below 0
+    full = each.select((F.col("first") + F.col("k") - F.lit(whole)).alias("container"), F.col("id").alias(id_col), (F.col("k") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias(size_col))
+    return packed.unionByName(full)

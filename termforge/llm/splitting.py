@@ -27,9 +27,12 @@ BREAKS = re.compile("\r\n|[\\n\\r\\x0b\\x0c\\x85\\u2028\\u2029]")
 LINE_BREAK = re.compile(f"[\\n\\r\\x0b\\x0c\\x85\\u2028\\u2029][{SPACES}]*")
 HEADING = re.compile(r"#{1,6}[ \t]|<h[1-6]\b|={3,}|-{3,}|\*{3,}")
 SENTENCE_END = re.compile(f"[.!?…。！？؟।．][\"'”’»)\\]」』）]*(?=[{SPACES}])")
-INNER_END = re.compile("[^。！？．]*[。！？．]+[\"'”’»)\\]」』）]*|[^。！？．]+")
+INNER_END = re.compile("[。！？．][\"'”’»)\\]」』）]*$")
+INNER = re.compile("[。！？．]")
 #: Atoms of more tokens are cut further; characters of the atoms that come of a word without any place to cut.
 LONG_ATOM, LETTERS = 64, 16
+#: Atoms of at most so many tokens are never cut; those between are, at ends of sentences inside them.
+SMALL_ATOM = 8
 
 
 def _parts() -> re.Pattern:
@@ -48,7 +51,8 @@ class Atoms:
         self.exact = True
         ranks = None
         self.long, self.letters = min(LONG_ATOM, core // 4), max(1, min(LETTERS, core // 4))
-        if max(counts, default=0) > self.long or any(ord(c) > 0x3000 for c in text[:1000:50]):
+        self.small = min(SMALL_ATOM, self.long)
+        if max(counts, default=0) > self.small:
             words, counts, ranks = self.cut(words, counts, find_counts)
         self.exact &= max(counts, default=0) <= core
         n = len(words)
@@ -73,27 +77,33 @@ class Atoms:
             self.places[r] = range(n + 1) if ranks is None else [i for i in range(n + 1) if more.get(i, WORD) >= r]
 
     def cut(self, words: list[str], counts: list[int], find_counts) -> tuple[list[str], list[int], list]:
-        """Long atoms without white space inside: at ends of sentences in scripts without blanks, else between runs of letters, else after LETTERS characters."""
+        """Long atoms without white space inside: at ends of sentences in scripts without blanks, else between runs of letters, else after LETTERS characters.
+
+        What is done with an atom depends on that atom alone. All cuts but those inside a run of letters are where the
+        tokenizer cuts as well.
+        """
         out, ranks, size = [], [], self.letters
         for word, count in zip(words, counts, strict=True):
-            if count <= min(8, self.long):
+            if count <= self.small or (count <= self.long and not INNER.search(word)):
                 out.append(word)
                 ranks.append(None)
                 continue
-            pieces = INNER_END.findall(word)
-            first = True
-            for piece in pieces:
-                if count <= self.long and len(pieces) == 1:
-                    out.append(piece)
-                    ranks.append(None)
-                    break
-                for j, run in enumerate(PARTS.findall(piece) or [piece]):
+            first, fresh = True, True  # of the atom; of a sentence
+            for run in PARTS.findall(word) or [word]:
+                if count <= self.long:  # its sentences stay whole
+                    if fresh:
+                        out.append(run)
+                        ranks.append(None if first else SENTENCE)
+                    else:
+                        out[-1] += run
+                else:
                     for k in range(0, len(run), size) if len(run) > 2 * size else [0]:
                         bit = run[k : k + size] if len(run) > 2 * size else run
                         self.exact &= len(run) <= 2 * size
                         out.append(bit)
-                        ranks.append(None if first else CHARACTER if k else PART if j else SENTENCE)
+                        ranks.append(None if first else CHARACTER if k else SENTENCE if fresh else PART)
                         first = False
+                first, fresh = False, bool(INNER_END.search(run))
         if "".join(out) != "".join(words):  # characters that no pattern takes up
             out = [w[k : k + size] for w in words for k in range(0, len(w), size)]
             ranks = [CHARACTER] * len(out)
