@@ -2,27 +2,35 @@
 
 Within a review, words that stand close together are joined by edges; a word's weight is the number of distinct words
 it is joined with, not its frequency. Postings keep frequencies but no positions, so a review's mentions are laid out
-by a fixed rule: the k-th of f mentions of a word stands at (k + u) / f of the review, u in [0, 1) being a hash of word
-and review. Texts, where there are any, give their real order through ``degrees_of_texts``.
+by a fixed rule: the k-th of f mentions of a word stands at (k + u) / f of the review, u in [0, 1) being made of word and
+review. A review with more than SCALE times as many mentions as different words is laid out at a smaller scale, so that
+no frequency, however large, takes more places than the review's words warrant. Texts, where there are any, give their
+real order through ``degrees_of_texts``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termforge.operators.heavy_keys import heavy_keys, split_by_weight
 from termforge.operators.live_index import collapse, valid_postings
-from termforge.session import durable, sized, stored
+from termforge.session import durable, is_small, stored
 
 #: Words at most WINDOW - 1 places apart are joined.
 WINDOW = 4
-#: Reviews with this share of all rows are cut into blocks of BLOCK mentions, which are laid out one by one.
-HEAVY_REVIEW, BLOCK = 0.01, 4096
+#: Places for each different word of a review that are laid out at most, on the average.
+SCALE = 16
+#: Reviews of so many rows (but of no smaller share of all rows than LEAST_SHARE, and of at most HEAVY_REVIEW) are cut into blocks of BLOCK mentions, which are laid out one by one.
+HEAVY_ROWS, LEAST_SHARE, HEAVY_REVIEW, BLOCK = 1_000_000, 1e-5, 0.01, 4096
+#: Steps of the phase of a word.
+PHASES = 1 << 20
 
 
 def neighbours(record: np.ndarray, word: np.ndarray, window: int) -> np.ndarray:
@@ -43,8 +51,13 @@ def neighbours(record: np.ndarray, word: np.ndarray, window: int) -> np.ndarray:
     return np.column_stack([key >> 32, key & 0xFFFFFFFF])
 
 
+def laid_out(freq: np.ndarray, length: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of each row, a word of a review of so many mentions and different words."""
+    return np.where(length > SCALE * words, np.maximum(1, (freq * (SCALE * words / length)).astype(np.int64)), freq)
+
+
 def degrees(record: np.ndarray, freq: np.ndarray, phase: np.ndarray, window: int) -> np.ndarray:
-    """Distinct neighbours of each row, a word of a record with its frequency; rows of one record are in a row."""
+    """Distinct neighbours of each row, a word of a record with its places; rows of one record are in a row."""
     row = np.repeat(np.arange(len(freq)), freq)
     kth = np.arange(len(row)) - np.repeat(np.cumsum(freq) - freq, freq)
     place = (kth + phase[row]) / freq[row]
@@ -53,18 +66,24 @@ def degrees(record: np.ndarray, freq: np.ndarray, phase: np.ndarray, window: int
     return np.bincount(neighbours(record[row], row, window)[:, 0], minlength=len(freq))
 
 
+def word_phase(word: str) -> int:
+    """The word's part of its phase: the first five hexadecimal digits of its MD5."""
+    return int(hashlib.md5(word.encode()).hexdigest()[:5], 16)
+
+
 def phase_column(word: str = "word", rid: str = "rid"):
-    """A number in [0, 1) that a word's hash and the review give."""
-    return F.pmod(F.xxhash64(F.xxhash64(word), rid), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    """A number in [0, 1) that word and review give."""
+    return F.pmod(F.conv(F.substring(F.md5(word), 1, 5), 16, 10).cast("bigint") + F.pmod(rid, F.lit(PHASES)) * 40503, F.lit(PHASES)) / F.lit(float(PHASES))
 
 
 #: Words whose counts are broadcast at most; beyond, rows and counts are shuffled by word.
 STATS_ROWS = 500_000
 #: kind 0: a word of a review; 1: reviews and mentions of a word, in part; 2: number of reviews, in part.
 ROWS, WORDS, REVIEWS = range(3)
-PARTS = "kind int, rid bigint, word string, freq bigint, length bigint, degree bigint, reviews bigint, mentions bigint"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("word", pa.string()), *((k, pa.int64()) for k in ("freq", "length", "degree", "reviews", "mentions"))])
-#: Word counts that a task holds before it hands them on.
+PARTS = "kind int, rid bigint, length bigint, words array<string>, freqs array<bigint>, degrees array<bigint>, word string, reviews bigint, mentions bigint"
+_INTS = pa.list_(pa.int64())
+_SCHEMA = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("length", pa.int64()), ("words", pa.list_(pa.string())), ("freqs", _INTS), ("degrees", _INTS), ("word", pa.string()), ("reviews", pa.int64()), ("mentions", pa.int64())])
+#: Different words that a task counts before it hands the counts on.
 HELD = 1_000_000
 
 
@@ -73,39 +92,67 @@ def _batch(kind: int, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
 
 
+class _Words:
+    """The words that a task met: their numbers, phases and counts."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.phase, self.counts, self.live = np.zeros(1024, np.int64), np.zeros((2, 1024), np.int64), 0
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        for w in known:
+            if w not in self.number:
+                n = self.number[w] = len(self.number)
+                if n == len(self.phase):
+                    self.phase, self.counts = np.resize(self.phase, 2 * n), np.hstack([self.counts, np.zeros_like(self.counts)])
+                self.phase[n] = word_phase(w)
+        return np.array([self.number[w] for w in known], np.int64)[np.asarray(coded.indices)]
+
+    def add(self, number: np.ndarray, freq: np.ndarray, reviews: int) -> None:
+        n = len(self.number)
+        self.counts[0, :n] += np.bincount(number, minlength=n)
+        np.add.at(self.counts[1], number, freq)
+        self.live += reviews
+
+    def handed(self) -> Iterator[pa.RecordBatch]:
+        n = len(self.number)
+        if n:
+            yield _batch(WORDS, n, word=pa.array(list(self.number), pa.string()), reviews=self.counts[0, :n], mentions=self.counts[1, :n])
+            yield _batch(REVIEWS, 1, reviews=np.array([self.live]))
+
+
 def _review_degrees(window: int, min_freq: int):
-    """Rows (rid, hash, flush_id, freq, phase, word) in order of the first four, freq falling, to PARTS."""
+    """Rows (rid, word, flush_id, freq) in order, freq falling, to PARTS: a row for each review."""
 
-    def work(table: pa.Table, counts: list) -> pa.RecordBatch:
-        rid, hash_, flush, freq, phase = (table.column(c).to_numpy() for c in ("rid", "hash", "flush_id", "freq", "phase"))
+    def work(table: pa.Table, known: _Words) -> pa.RecordBatch:
+        rid, flush, freq = (table.column(c).to_numpy() for c in ("rid", "flush_id", "freq"))
+        words = table.column("word").combine_chunks()
+        number = known.find(words)
         new = np.ones(len(rid), bool)  # a word of a review begins
-        new[1:] = (rid[1:] != rid[:-1]) | (hash_[1:] != hash_[:-1])
+        new[1:] = (rid[1:] != rid[:-1]) | (number[1:] != number[:-1])
         once = new.copy()  # replays come after the row that counts
         once[1:] |= flush[1:] != flush[:-1]
         first = np.flatnonzero(new)
         freq = np.add.reduceat(np.where(once, freq, 0), first)
-        rid, hash_, phase = rid[first], hash_[first], phase[first]
+        rid, number = rid[first], number[first]
         begin = np.flatnonzero(np.diff(rid, prepend=rid[0] - 1))
-        number = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(rid))))
-        length = np.add.reduceat(freq, begin)[number]
-        degree = degrees(number, freq, phase, window).astype(np.int64)
+        size = np.diff(np.append(begin, len(rid)))
+        record = np.repeat(np.arange(len(begin)), size)
+        length = np.add.reduceat(freq, begin)
+        phase = (known.phase[number] + np.mod(rid, PHASES) * 40503) % PHASES / float(PHASES)
+        degree = degrees(record, laid_out(freq, length[record], size[record]), phase, window).astype(np.int64)
+        known.add(number, freq, len(begin))
         keep = np.flatnonzero(freq >= min_freq)
-        words = table.column("word").combine_chunks().take(pa.array(first))
-        counts.append((hash_, freq, words, len(begin)))
-        return _batch(ROWS, len(keep), rid=rid[keep], word=words.take(pa.array(keep)), freq=freq[keep], length=length[keep], degree=degree[keep])
-
-    def handed(counts: list) -> Iterator[pa.RecordBatch]:
-        if counts:
-            hash_, freq = (np.concatenate([c[k] for c in counts]) for k in (0, 1))
-            _, at, back, reviews = np.unique(hash_, return_index=True, return_inverse=True, return_counts=True)
-            words = pa.concat_arrays([c[2] for c in counts]).take(pa.array(at))
-            yield _batch(WORDS, len(at), word=words, reviews=reviews.astype(np.int64), mentions=np.bincount(back, freq).astype(np.int64))
-            yield _batch(REVIEWS, 1, reviews=np.array([sum(c[3] for c in counts)]))
-            counts.clear()
+        some, each = np.unique(record[keep], return_counts=True)
+        cuts = pa.array(np.append(0, np.cumsum(each)).astype(np.int32))
+        lists = (pa.ListArray.from_arrays(cuts, c) for c in (words.take(pa.array(first[keep])), pa.array(freq[keep]), pa.array(degree[keep])))
+        return _batch(ROWS, len(some), rid=rid[begin][some], length=length[some], **dict(zip(("words", "freqs", "degrees"), lists, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
-        counts: list = []
+        known = _Words()
         for batch in batches:
             rid = batch.column(0).to_numpy()
             if not len(rid):
@@ -115,23 +162,27 @@ def _review_degrees(window: int, min_freq: int):
                 done = pa.Table.from_batches([*kept, batch.slice(0, last)])
                 kept = []
                 if done.num_rows:
-                    yield work(done, counts)
+                    yield work(done, known)
             kept.append(batch.slice(last))
-            if sum(len(c[0]) for c in counts) > HELD:
-                yield from handed(counts)
+            if len(known.number) > HELD:
+                yield from known.handed()
+                known = _Words()
         if kept:
-            yield work(pa.Table.from_batches(kept), counts)
-        yield from handed(counts)
+            yield work(pa.Table.from_batches(kept), known)
+        yield from known.handed()
 
     return run
 
 
 def _heavy_degrees(pairs: DataFrame, window: int) -> DataFrame:
     """The same for reviews of any size: mentions in blocks by place, edges within blocks and from each to the next."""
-    lengths = pairs.groupBy("rid").agg(F.sum("freq").alias("length"))
+    lengths = pairs.groupBy("rid").agg(F.sum("freq").alias("length"), F.count(F.lit(1)).alias("n"))
     sized = pairs.join(F.broadcast(lengths), "rid")  # one row for each heavy review
-    place = (F.col("k") + phase_column()) / F.col("freq")
-    mentions = sized.select("rid", "word", F.explode(F.sequence(F.lit(0), F.col("freq") - 1)).alias("k"), "freq", "length").select("rid", "word", place.alias("place"), F.floor(place * F.col("length") / BLOCK).cast("bigint").alias("block"))
+    scaled = F.greatest(F.lit(1), F.floor(F.col("freq") * (F.col("n") * SCALE / F.col("length"))))
+    places = F.when(F.col("length") > F.col("n") * SCALE, scaled).otherwise(F.col("freq")).cast("bigint")
+    place = (F.col("k") + phase_column()) / F.col("f")
+    mentions = sized.select("rid", "word", places.alias("f"), F.least("length", F.col("n") * SCALE).alias("size")).select("rid", "word", "f", "size", F.explode(F.sequence(F.lit(0), F.col("f") - 1)).alias("k"))
+    mentions = mentions.select("rid", "word", place.alias("place"), F.floor(place * F.col("size") / BLOCK).cast("bigint").alias("block"))
     edge_schema = pa.schema([("rid", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("block", pa.int64()), ("place", pa.float64())])
 
     def edges(table: pa.Table, cross: bool) -> pa.Table:
@@ -160,39 +211,52 @@ def _heavy_degrees(pairs: DataFrame, window: int) -> DataFrame:
 
 def review_parts(valid: DataFrame, window: int = WINDOW, min_freq: int = 1) -> DataFrame:
     """PARTS of valid rows (word, rid, freq, flush_id): one shuffle by rid, in which replays, sums, degrees and counts are made."""
-    # hashes are made after the shuffle: they don't compress
-    rows = valid.select("rid", "freq", F.coalesce("flush_id", F.lit(-1)).alias("flush_id"), "word").repartition("rid")
-    rows = rows.select("rid", F.xxhash64("word").alias("hash"), "flush_id", "freq", phase_column().alias("phase"), "word")
-    return rows.sortWithinPartitions("rid", "hash", "flush_id", F.col("freq").desc()).mapInArrow(_review_degrees(window, min_freq), PARTS)
+    order = ["rid", "word", "flush_id"]
+    rows = valid.select("rid", "word", F.coalesce("flush_id", F.lit(-1)).alias("flush_id"), "freq").repartition("rid")
+    return rows.sortWithinPartitions(*order, F.col("freq").desc()).mapInArrow(_review_degrees(window, min_freq), PARTS)
+
+
+def _part_columns(kind: int, **columns):
+    return [F.lit(kind).cast("int").alias("kind"), *((columns[f.name] if f.name in columns else F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in T._parse_datatype_string(PARTS).fields[1:])]
 
 
-def distinctive_words(postings: DataFrame, tombstones: DataFrame, min_freq: int = 1, window: int = WINDOW) -> DataFrame:
+def distinctive_words(postings: DataFrame, tombstones: DataFrame, min_freq: int = 1, window: int = WINDOW, best_first: bool = False) -> DataFrame:
     """(rid, word, score, degree, freq, length, reviews, mentions, all_mentions) of the live index.
 
     score = degree * ln(1 + live reviews with any word / live reviews with the word); the degree of the only word of a
     review is 0. min_freq leaves out words mentioned less often in the review, after degrees and counts were made over
-    everything. Null words and rids, freq below 1 and deleted reviews don't count, replays count once. Ties have equal
-    scores; empty tables give an empty result; extra columns are ignored. Words are told apart by 64-bit hashes within
-    a task.
+    everything. best_first puts each review's words in order of score, then word. Null words and rids, freq below 1 and deleted reviews don't count, replays count once. Ties have equal
+    scores; empty tables give an empty result; extra columns are ignored. A review's words are kept in one row, so
+    that they stay together; only where the words' counts are too many to be broadcast are they shuffled again.
     """
     valid = valid_postings(postings, tombstones)
-    heavy = heavy_keys(postings.select("rid").where("rid IS NOT NULL"), "rid", HEAVY_REVIEW)
+    rows = postings.select("rid").where("rid IS NOT NULL")
+    share = min(HEAVY_REVIEW, max(LEAST_SHARE, HEAVY_ROWS / max(1, rows.count())))
+    heavy = heavy_keys(rows, "rid", share)
     if heavy.isEmpty():
         parts = stored(review_parts(valid, window, min_freq), "parts")
     else:
         large, small = split_by_weight(valid, "rid", heavy)
         pairs = durable(collapse(large.repartition("rid", "word")))
-        none = lambda *names: [F.lit(None).cast("bigint").alias(n) for n in names]
-        rows = _heavy_degrees(pairs, window).where(F.col("freq") >= min_freq).select(F.lit(ROWS).alias("kind"), "rid", "word", "freq", "length", "degree", *none("reviews", "mentions"))
+        found = _heavy_degrees(pairs, window).where(F.col("freq") >= min_freq)
+        single = {f"{c}s": F.array(c) for c in ("word", "freq", "degree")}  # no review of any size in one row
+        found = found.select(*_part_columns(ROWS, rid=F.col("rid"), length=F.col("length"), **single))
         counts = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("reviews"), F.sum("freq").alias("mentions"))
-        counts = counts.select(F.lit(WORDS).alias("kind"), *none("rid"), "word", *none("freq", "length", "degree"), "reviews", "mentions")
-        number = pairs.agg(F.countDistinct("rid").alias("reviews")).select(F.lit(REVIEWS).alias("kind"), *none("rid"), F.lit(None).cast("string").alias("word"), *none("freq", "length", "degree"), "reviews", *none("mentions"))
-        parts = stored(review_parts(small, window, min_freq).unionByName(rows).unionByName(counts).unionByName(number), "parts")
+        counts = counts.select(*_part_columns(WORDS, word=F.col("word"), reviews=F.col("reviews"), mentions=F.col("mentions")))
+        number = pairs.agg(F.countDistinct("rid").alias("n")).select(*_part_columns(REVIEWS, reviews=F.col("n")))
+        parts = stored(review_parts(small, window, min_freq).unionByName(found).unionByName(counts).unionByName(number), "parts")
     stats = parts.where(F.col("kind") == WORDS).groupBy("word").agg(F.sum("reviews").alias("reviews"), F.sum("mentions").alias("mentions"))
     live, mentions = parts.agg(F.sum(F.when(F.col("kind") == REVIEWS, F.col("reviews"))), F.sum(F.when(F.col("kind") == WORDS, F.col("mentions")))).first()
-    found = parts.where(F.col("kind") == ROWS).select("rid", "word", "freq", "length", "degree").join(sized(stats, STATS_ROWS), "word")
+    each = parts.where(F.col("kind") == ROWS).select("rid", "length", F.explode(F.arrays_zip("words", "freqs", "degrees")).alias("x"))
+    each = each.select("rid", F.col("x.words").alias("word"), F.col("x.freqs").alias("freq"), "length", F.col("x.degrees").alias("degree"))
     score = F.col("degree") * F.log1p(F.lit(live or 0) / F.col("reviews"))
-    return found.select("rid", "word", score.alias("score"), "degree", "freq", "length", "reviews", "mentions", F.lit(mentions or 0).cast("bigint").alias("all_mentions"))
+    small = is_small(stats, STATS_ROWS)
+    scored = each.join(F.broadcast(stats) if small else stats.hint("shuffle_hash"), "word").select("rid", "word", score.alias("score"), "degree", "freq", "length", "reviews", "mentions", F.lit(mentions or 0).cast("bigint").alias("all_mentions"))
+    if not best_first:
+        return scored
+    order = ["rid", F.col("score").desc(), "word"]
+    # a review that came out of one row is in one partition still
+    return scored.sortWithinPartitions(*order) if small and heavy.isEmpty() else scored.orderBy(*order)
 
 
 def degrees_of_texts(texts: DataFrame, id_col: str, words_col: str, window: int = WINDOW) -> DataFrame:

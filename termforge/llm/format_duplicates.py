@@ -76,7 +76,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit, again = merged()
     owner = bit // BLOCK_BITS
     first = np.flatnonzero(np.diff(owner, prepend=-1))
-    for a, b in zip(first, np.append(first[1:], len(bit)), strict=True):
+    for a, b in zip(first, np.append(first, len(bit))[1:], strict=True):
         row = [owner[a], pack_places(bit[a:b] % BLOCK_BITS), np.packbits(again[a:b]).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, PARTIAL, strict=True)], schema=PARTIAL)
 

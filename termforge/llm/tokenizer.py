@@ -232,9 +232,16 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path
     schema = pa.schema([(id_col, pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
+        table = pa.array(token_bytes(path), pa.binary())
         for batch in batches:
-            texts = [b"".join(map(table.__getitem__, ids or ())).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)
+            lists = batch.column(1)
+            size = np.asarray(pc.list_value_length(lists).fill_null(0))
+            cuts = np.append(0, np.cumsum(size)).astype(np.int32)
+            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), table.take(lists.flatten())), b"")
+            try:
+                texts = whole.cast(pa.string())
+            except pa.ArrowInvalid:  # ids that don't make up characters
+                texts = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], schema=schema)
 
     return tokens.select(F.col(id_col).cast("bigint").alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` bigint, text string")

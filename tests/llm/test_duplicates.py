@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -74,10 +75,26 @@ def test_filter_misses_no_repeat(spark):
     assert len(maybe) < 400 + 0.1 * 5000  # few others are shuffled
 
 
-def test_filter_joined_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(format_duplicates, "BROADCAST_BLOCKS", 0)
-    df = table(spark, [(1, "a"), (2, "A"), (3, "b")])
-    assert rows(format_duplicates.copies(df)) == [(1, 2)]
+def test_filter_in_ranges(spark, monkeypatch):
+    """Many blocks, a few of which are broadcast at a time; groups that are too many to broadcast but for the hot ones."""
+    monkeypatch.setattr(format_duplicates, "TEXT_BITS", 1 << 16)
+    monkeypatch.setattr(format_duplicates, "FILTER_BYTES", 1 << 20)
+    monkeypatch.setattr(format_duplicates, "is_small", lambda df: False)
+    monkeypatch.setattr(format_duplicates, "HOT_SHARE", 0.1)
+    pairs = [(i, f"text {i % 200 if i < 250 else 'hot' if i < 300 else i}") for i in range(400)]
+    assert format_duplicates.block_number(400) == 13
+    want = sorted(((min(g), i) for g in copies_of(pairs).values() for i in g if i != min(g)), key=repr)
+    assert rows(format_duplicates.copies(table(spark, pairs))) == want and len(want) == 99
+    assert sum(n for _, n in rows(format_duplicates.collapse(table(spark, pairs)))) == 400
+
+
+def test_places_in_two_bytes():
+    rnd = random.Random(1)
+    for top in (5, 70_000, format_duplicates.BLOCK_BITS):
+        places = np.array(sorted(rnd.sample(range(top), 5)))
+        assert format_duplicates.unpack_places(format_duplicates.pack_places(places)).tolist() == places.tolist()
+    every = np.array([0, 65534, 65535, 131069, 131070, 131071, 1 << 20])
+    assert format_duplicates.unpack_places(format_duplicates.pack_places(every)).tolist() == every.tolist()
 
 
 def similar(pairs, t=(7, 10)):

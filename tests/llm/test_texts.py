@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import DATA, rows
 from termforge.llm import packing, splitting, tokenizer
@@ -96,6 +97,17 @@ def test_cuts_are_natural():
     assert all(words[:e].endswith("word") or e == len(words) for _, e, _, _ in splitting.split_text(words, 50, 10, own.counts_of))
 
 
+def test_cuts_depend_on_the_atom_alone():
+    """Sentences without blanks are found wherever they stand in the text."""
+    own = tokenizer.encoder(tokenizer.BYTE_BPE)
+    sentences, latin = "良い天気。散歩へ。 " * 400, "Latin word " * 100
+    count = lambda text: splitting.Atoms(text, own.counts_of, 448)
+    alone, after = count(sentences), count(latin + sentences)
+    assert len(after.cum) - len(alone.cum) == 200 and len(after.places[splitting.SENTENCE]) == len(alone.places[splitting.SENTENCE]) > 800
+    text = latin + "いい。（はい）。" * 200
+    check_pieces(text, splitting.split_text(text, 60, 10, own.counts_of), 60, 10)
+
+
 def test_split_documents(spark):
     df = docs(spark, [*ODD, "word " * 600, None])
     got = splitting.split_documents(df).orderBy("doc_id", "piece").collect()
@@ -120,6 +132,25 @@ def test_differencing_is_near_equal():
     assert np.bincount(packing.pack_group(np.full(9, 60), 100)).max() == 1
 
 
+def filled(got):
+    out = {}
+    for r in got:
+        out[r.container] = out.get(r.container, 0) + r.tokens
+    return out
+
+
+def test_items_above_capacity(spark):
+    """Only whole containers; one item of over a million containers beside others; hosts of tiny items."""
+    two = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(4096).alias("tokens"))
+    got = packing.pack(two, "doc_id", "tokens", 2048)
+    assert got.count() == got.select("container").distinct().count() == 10_000
+    huge = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, F.lit(2048 * 1_100_000 + 1)).otherwise(1000).cast("bigint").alias("tokens"))
+    sums = packing.pack(huge, "doc_id", "tokens", 2048).groupBy("container").agg(F.sum("tokens").alias("n")).agg(F.max("n"), F.sum("n"), F.count("n")).first()
+    assert tuple(sums) == (2048, 2048 * 1_100_000 + 1 + 899_000, 1_100_450)
+    tiny = packing.pack(spark.range(100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 + 1).alias("tokens")), "doc_id", "tokens", 2048).collect()
+    assert max(filled(tiny).values()) <= 2048 and len(tiny) == 100_000 and len(filled(tiny)) <= 100
+
+
 @pytest.mark.parametrize("windows", [2, 192])
 def test_containers(spark, windows):
     rnd = random.Random(windows)
@@ -127,11 +158,8 @@ def test_containers(spark, windows):
     data = [(i, n, "c", 1) for i, n in enumerate(sizes)] + [(900, 0, "c", 1), (901, None, "c", 1), (902, -4, "c", 1), (None, 30, "c", 1), (3, 30, "c", 1), (3, 30, "c", 1)]
     df = spark.createDataFrame(data, "doc_id bigint, tokens bigint, container string, grp int")
     got = packing.pack(df, "doc_id", "tokens", 100, windows).collect()
-    filled = {}
-    for r in got:
-        filled[r.container] = filled.get(r.container, 0) + r.tokens
     total = sum(n for _, n, *_ in data if n and n > 0)
-    assert max(filled.values()) <= 100 and sum(filled.values()) == total
+    assert max(filled(got).values()) <= 100 and sum(filled(got).values()) == total
     for i, n in enumerate(sizes):
         own = sorted((r.start, r.tokens) for r in got if r.doc_id == i)
         if i == 3:
@@ -139,7 +167,7 @@ def test_containers(spark, windows):
         assert own == [(s, min(100, n - s)) for s in range(0, n, 100)]  # split only above capacity
     assert sum(r.doc_id is None for r in got) == 1
     if windows > 2:
-        assert len(filled) <= 1.03 * total / 100 + 1
+        assert len(filled(got)) <= 1.03 * total / 100 + 1
     assert packing.pack(df.limit(0), "doc_id", "tokens", 100).count() == 0
 
 

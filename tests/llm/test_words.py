@@ -32,35 +32,39 @@ def live(data, dead):
     once, out = {}, collections.Counter()
     for w, r, f, fl, *_ in data:
         if w is not None and r is not None and f and f > 0 and r not in dead:
-            k = (w.strip(), r, fl) if False else (w.strip().lower(), r, fl)
+            k = (w.strip().lower(), r, fl)
             once[k] = max(once.get(k, 0), f)
     for (w, r, _), f in once.items():
         out[w, r] += f
     return out
 
 
-@pytest.mark.parametrize("heavy", [0.01, 2.0])
-def test_distinctive_words(spark, heavy, monkeypatch):
+def test_distinctive_words(spark, monkeypatch):
     """With every review heavy, cut into small blocks, and with none: frequencies and counts are those of brute force, degrees agree."""
-    monkeypatch.setattr(distinctive, "HEAVY_REVIEW", heavy)
     monkeypatch.setattr(distinctive, "BLOCK", 8)
-    data = dirty()
+    data = [*dirty(), ("huge", 61, 2**31 - 1, 1, "x", 1, 1), ("b", 61, 5, 1, "x", 1, 1), ("c", 61, 1, 1, "x", 1, 1)]
     want = live(data, {4, 5})
     df = spark.createDataFrame(data, POSTING)
-    got = distinctive.distinctive_words(df, spark.createDataFrame([(4, "a"), (5, "b"), (None, "c"), (5, "d")], DEAD)).collect()
-    assert {(r.word, r.rid): r.freq for r in got} == dict(want) and len(got) == len(want)
     length, reviews, mentions = collections.Counter(), collections.Counter(), collections.Counter()
     for (w, r), f in want.items():
         length[r] += f
         reviews[w] += 1
         mentions[w] += f
     others = collections.Counter(r for _, r in want)
-    for r in got:
-        assert (r.length, r.reviews, r.mentions, r.all_mentions) == (length[r.rid], reviews[r.word], mentions[r.word], sum(want.values()))
-        assert (r.degree > 0) == (others[r.rid] > 1) and r.degree <= min(others[r.rid] - 1, 2 * (distinctive.WINDOW - 1) * r.freq)
-    test_distinctive_words.seen = getattr(test_distinctive_words, "seen", {}) | {heavy: {(r.rid, r.word): r.degree for r in got}}
-    if len(test_distinctive_words.seen) == 2:
-        assert test_distinctive_words.seen[0.01] == test_distinctive_words.seen[2.0]
+    seen = []
+    for heavy in (0.0001, 2.0):
+        monkeypatch.setattr(distinctive, "HEAVY_REVIEW", heavy)
+        dead = spark.createDataFrame([(4, "a"), (5, "b"), (None, "c"), (5, "d")], DEAD)
+        got = distinctive.distinctive_words(df, dead, best_first=True).collect()
+        assert {(r.word, r.rid): r.freq for r in got} == dict(want) and len(got) == len(want)
+        for r in got:
+            assert (r.length, r.reviews, r.mentions, r.all_mentions) == (length[r.rid], reviews[r.word], mentions[r.word], sum(want.values()))
+            assert (r.degree > 0) == (others[r.rid] > 1) and r.degree <= min(others[r.rid] - 1, 2 * (distinctive.WINDOW - 1) * r.freq)
+        for rid in {r.rid for r in got}:
+            own = [(-r.score, r.word) for r in got if r.rid == rid]
+            assert own == sorted(own)
+        seen.append({(r.rid, r.word): r.degree for r in got})
+    assert seen[0] == seen[1]
 
 
 def test_degrees_in_texts(spark):
