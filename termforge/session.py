@@ -71,6 +71,19 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df.hint("shuffle_hash")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+    """rows joined with groups (key, n, ...), one row for each key, n rows of which rows may have.
+
+    Groups that were counted to be few are broadcast. Else only those are that hold ``share`` of the rows, at most
+    1 / share, so that no task gets a hot one; the others are joined by shuffle.
+    """
+    if is_small(groups):
+        return rows.join(F.broadcast(groups), key)
+    hot = F.col("n") >= max(2, int(rows.count() * share))
+    keys = F.broadcast(groups.where(hot))
+    return rows.join(keys, key).unionByName(rows.join(keys, key, "left_anti").join(groups.where(~hot).hint("shuffle_hash"), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
