@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termforge.llm.canonical import canonical_text
-from termforge.session import is_small, stored, work_path
+from termforge.session import join_groups, stored, work_path
 
 #: Bits of the filter for each text; bits of a block; bytes of the filter that is broadcast at a time.
 TEXT_BITS, BLOCK_BITS, FILTER_BYTES = 16, 1 << 21, 32 << 20
@@ -27,8 +27,6 @@ TEXT_BITS, BLOCK_BITS, FILTER_BYTES = 16, 1 << 21, 32 << 20
 SHIFTS = (22, 43)
 #: Places kept by a task before those that are alike are put together; steps between places that take two bytes.
 HELD, STEP = 1 << 22, 65535
-#: A group of this share of all texts that may be repeated is broadcast, where all groups together are too many.
-HOT_SHARE = 0.001
 
 
 def block_number(texts: int) -> int:
@@ -165,10 +163,5 @@ def copies(reviews: DataFrame, id_col: str = "review_id", text_col: str = "text"
     """(id_a, id_b): each further id of a text, with the smallest; input cases as in ``collapse``."""
     maybe = stored(_split(reviews, id_col, text_col)[0], "maybe")
     groups = stored(maybe.groupBy("exact").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
-    if is_small(groups):
-        both = maybe.join(F.broadcast(groups), "exact")
-    else:  # at most 1 / HOT_SHARE groups are hot
-        hot = F.col("n") >= max(2, int(maybe.count() * HOT_SHARE))
-        keys = F.broadcast(groups.where(hot))
-        both = maybe.join(keys, "exact").unionByName(maybe.join(keys, "exact", "left_anti").join(groups.where(~hot).hint("shuffle_hash"), "exact"))
+    both = join_groups(maybe, groups, "exact")
     return both.where(F.col("id") != F.col("a")).select(F.col("a").alias(f"{id_col}_a"), F.col("id").alias(f"{id_col}_b"))

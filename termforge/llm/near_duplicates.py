@@ -1,18 +1,21 @@
-"""Texts that share most of their words: an exact set-similarity join.
-
-Equal word sets are one class, joined once; the answers of its members are those of the class. Each class enters the
-index lists of its rarest words, as many as any two similar sets must have one in common among. A list is kept in
-order of set size and of the word's position in the set, in blocks. From sizes and positions of two blocks follows how
-much any two of their sets can have in common, and pairs of blocks that can't reach the threshold are skipped whole.
-Pairs that survive a bound on bit signatures are compared exactly, by their short differences from a common leader
-where they have one, so that a set's answers follow from those of a set much like it. Long lists are cut into blocks of
-LIST rows, each pair of which is a task's work of bounded size.
+"""Texts that share most of their words: an exact set-similarity join that skips by set relations.
+
+Equal word sets are one class, joined once. Sets that differ from another in at most APART words, found by two equal
+minimum hashes and compared exactly, follow that one, their leader; only leaders and sets without one are searched, with
+bounds that allow for what their followers have less and more. Each searched set enters the index lists of its rarest
+words, as many as any two similar sets must have one in common among. A list is kept in order of set size and of the
+word's position in the set, in blocks. From a set's size and position follows how large a set can be that it may be
+similar to, and blocks, and rows within them, that can't reach the threshold are skipped. Pairs that survive a bound on
+bit signatures are compared exactly. A follower's answers come from its leader's: the words that two leaders share, less
+and plus the followers' differences, decide most pairs without looking at them, and under one leader all. Long lists
+are cut into parts of LIST rows, each pair of which is a task's work of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termforge.llm.canonical import canonical_text, words
-from termforge.session import durable, sized
+from termforge.session import durable, join_groups, sized, stored
 
-#: Frequent words whose order is by their counts; all others are rarer than these, and come first, in order of hash.
-ORDERED_WORDS = 1 << 16
+#: Frequent words whose order is by their counts; all others are at most as frequent as the last of these, and come first, in order of hash.
+ORDERED_WORDS = 1 << 20
 #: Rows of one list that a task holds, and rows of a block of it.
 LIST, ROWS = 16384, 256
 SIGNATURE = 4
+#: Words in which a set may differ from its leader.
+APART = 1
 
 
 def _rows(reviews: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,13 +50,15 @@ def word_order(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return top["w"].to_numpy()[order].astype(np.int64), top["count"].to_numpy()[order].astype(np.int64)
 
 
-LISTED = "word bigint, first int, second int, size int, pos int, id bigint, mine int, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+LISTED = "word bigint, first int, second int, size int, pos int, slack int, id bigint, mine int, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 
 
-def _list_rows(order: tuple[np.ndarray, np.ndarray], threshold: Fraction, longest: int):
+def _list_rows(order: tuple[np.ndarray, np.ndarray], threshold: Fraction, longest: int, slack: int):
+    """Rows (class, words, slack) to LISTED; slack: the most words in which followers, of this set or any, differ from it."""
     known, counts = order
+    unknown = int(counts.min()) if len(counts) == ORDERED_WORDS else 0  # no other word has more
     num, den = threshold.numerator, threshold.denominator
-    schema = pa.schema([("word", pa.int64()), ("first", pa.int32()), ("second", pa.int32()), ("size", pa.int32()), ("pos", pa.int32()), ("id", pa.int64()), ("mine", pa.int32()), *((f"s{k}", pa.int64()) for k in range(SIGNATURE))])
+    schema = pa.schema([("word", pa.int64()), ("first", pa.int32()), ("second", pa.int32()), ("size", pa.int32()), ("pos", pa.int32()), ("slack", pa.int32()), ("id", pa.int64()), ("mine", pa.int32()), *((f"s{k}", pa.int64()) for k in range(SIGNATURE))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,6 +67,7 @@ def _list_rows(order: tuple[np.ndarray, np.ndarray], threshold: Fraction, longes
                 continue
             lists = batch.column(1)
             size = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+            own_slack = batch.column(2).to_numpy().astype(np.int64)
             flat = lists.flatten().to_numpy()
             begin = np.cumsum(size) - size
             row = np.repeat(np.arange(len(ids)), size)
@@ -69,55 +77,59 @@ def _list_rows(order: tuple[np.ndarray, np.ndarray], threshold: Fraction, longes
             signature = [np.bitwise_or.reduceat(np.where(bit // 64 == k, np.uint64(1) << (bit % np.uint64(64)), np.uint64(0)), begin).view(np.int64) for k in range(SIGNATURE)]
             sort = np.lexsort((flat, count, row))
             pos = np.arange(len(flat)) - begin[row]
-            prefix = size - -(-size * num // den) + 1
+            prefix = size - (-(-(size - own_slack) * num // den) - own_slack - slack) + 1
             keep = pos < prefix[row]
             word, count, owner, pos = flat[sort][keep], count[sort][keep], row[keep], pos[keep]
             # a word of more than that many sets: its sets are dealt to parts, and every pair of parts is a list
-            parts = np.maximum(1, -(-count // longest))
+            parts = np.maximum(1, -(-np.where(count > 0, count, unknown) // longest))
             mine = (np.mod(ids[owner] * np.int64(-7046029254386353131), np.int64(1) << 40) >> 8) % parts
             again = np.repeat(np.arange(len(word)), parts)
             other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
             own = mine[again]
-            out = [word[again], np.minimum(own, other), np.maximum(own, other), size[owner][again], pos[again], ids[owner][again], own, *(s[owner][again] for s in signature)]
+            out = [word[again], np.minimum(own, other), np.maximum(own, other), size[owner][again], pos[again], own_slack[owner][again], ids[owner][again], own, *(s[owner][again] for s in signature)]
             yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _pairs_of_list(rows: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of pairs that may be similar; rows are in order of size and position.
+def _pairs_of_list(rows: dict[str, np.ndarray], num: int, den: int, most_slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs that may be similar, or have followers that are; rows are in order of size and position.
 
-    With a threshold of num/den, sets of a and b words must share need = ceil(num (a + b) / (num + den)) of them.
+    With a threshold of num/den, sets of a and b words must share ceil(num (a + b) / (num + den)) of them; followers have
+    at least slack words less, and share at most slack more, than their leader.
     """
-    size, pos, sig = rows["size"], rows["pos"], rows["sig"]
+    size, pos, sig, slack = rows["size"], rows["pos"], rows["sig"], rows["slack"]
     n, cross = len(size), rows["first"] != rows["second"]
     left = size - pos  # words from this one on
+    # the largest set that this one, with so few words left, can be similar to
+    bound = (left + slack + most_slack) * (num + den) // num - size + slack + most_slack
     starts = np.arange(0, n, ROWS)
-    most_left = np.maximum.reduceat(left, starts)
+    most_bound = np.maximum.reduceat(bound, starts)
     least, most = size[starts], size[np.minimum(starts + ROWS, n) - 1]
     found = [[], []]
     for x, a in enumerate(starts):
         b = min(a + ROWS, n)
-        reach = np.searchsorted(size, most[x] * den // num, "right")
+        reach = np.searchsorted(size, (most[x] * den + most_slack * (num + den)) // num, "right")
         for y in range(x, -(-reach // ROWS)):
-            need = -(-num * (least[x] + least[y]) // (num + den))
-            if min(most_left[x], most_left[y]) < need:  # the blocks' positions leave too few words
+            if most_bound[x] < least[y] or most_bound[y] < least[x]:
                 continue
             c, d = starts[y], min(starts[y] + ROWS, n)
-            allowed = most[x] + most[y] - 2 * -(-num * (most[x] + most[y]) // (num + den)) + 1
-            apart = np.bitwise_count(sig[0, a:b, None] ^ sig[0, None, c:d])
+            i, j = a + np.flatnonzero(bound[a:b] >= least[y]), c + np.flatnonzero(bound[c:d] >= least[x])
+            both = most[x] + most[y]
+            allowed = both - 2 * (-(-num * (both - 2 * most_slack) // (num + den)) - 2 * most_slack) + 1
+            apart = np.bitwise_count(sig[0, i][:, None] ^ sig[0, j])
             if most[y] > 64:
                 for k in range(1, SIGNATURE):
-                    apart = apart + np.bitwise_count(sig[k, a:b, None] ^ sig[k, None, c:d])
-            i, j = np.nonzero(apart <= allowed)
-            i, j = i + a, j + c
+                    apart = apart + np.bitwise_count(sig[k, i][:, None] ^ sig[k, j])
+            p, q = np.nonzero(apart <= allowed)
+            i, j = i[p], j[q]
             near = i < j
             if cross:
                 near &= rows["mine"][i] != rows["mine"][j]
             i, j = i[near], j[near]
-            total = size[i] + size[j]
-            need = -(-num * total // (num + den))
-            near = (np.minimum(left[i], left[j]) >= need) & (size[j] * num <= size[i] * den)
+            total, less = size[i] + size[j], slack[i] + slack[j]
+            need = -(-num * (total - less) // (num + den)) - less
+            near = (np.minimum(left[i], left[j]) >= need) & (size[j] * num <= size[i] * den + less * (num + den))
             i, j, total, need = i[near], j[near], total[near], need[near]
             near = np.bitwise_count(sig[:, i] ^ sig[:, j]).astype(np.int64).sum(0) <= total - 2 * need
             found[0].append(i[near])
@@ -125,7 +137,7 @@ def _pairs_of_list(rows: dict[str, np.ndarray], num: int, den: int) -> tuple[np.
     return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
 
 
-def _candidates(threshold: Fraction):
+def _candidates(threshold: Fraction, most_slack: int):
     num, den = threshold.numerator, threshold.denominator
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -137,8 +149,8 @@ def _candidates(threshold: Fraction):
         pairs = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a > 1:
-                rows = {"size": c["size"][a:b].astype(np.int64), "pos": c["pos"][a:b].astype(np.int64), "mine": c["mine"][a:b], "sig": sig[:, a:b], "first": c["first"][a], "second": c["second"][a]}
-                i, j = _pairs_of_list(rows, num, den)
+                rows = {"size": c["size"][a:b].astype(np.int64), "pos": c["pos"][a:b].astype(np.int64), "slack": c["slack"][a:b].astype(np.int64), "mine": c["mine"][a:b], "sig": sig[:, a:b], "first": c["first"][a], "second": c["second"][a]}
+                i, j = _pairs_of_list(rows, num, den, most_slack)
                 ids = c["id"][a:b]
                 if len(i):
                     pairs.append(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
@@ -166,57 +178,90 @@ def _candidates(threshold: Fraction):
 
 
 class Similar:
-    """The similar texts of a table: ``classes`` (class, words), ``members`` (id, same, class), ``links`` (a, b, shared, size_a, size_b).
+    """The similar texts of a table: ``classes`` (class, words), ``members`` (id, same, class), ``links`` (a, b).
 
     A class is a set of words, named by its smallest id. Links hold every pair of different classes of which at least
     ``threshold`` of the words are shared. Ids that are null and texts that are null or without words belong to no
     class; of several rows of one id, one counts. An empty table gives empty results; extra columns are ignored.
     """
 
-    def __init__(self, reviews: DataFrame, threshold: float = 0.8, id_col: str = "review_id", text_col: str = "text", longest: int = LIST) -> None:
-        self.longest = longest
+    def __init__(self, reviews: DataFrame, threshold: float = 0.8, id_col: str = "review_id", text_col: str = "text", longest: int = LIST, apart: int = APART) -> None:
+        self.longest, self.apart = longest, apart
         self.threshold = Fraction(str(threshold))
         if not 0 < self.threshold <= 1:
             raise ValueError("threshold must be above 0 and at most 1")
-        rows = durable(_rows(reviews, id_col, text_col).withColumn("k1", F.xxhash64("words")).withColumn("k2", F.xxhash64(F.lit(7), "words")))
-        self.classes = durable(rows.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.min("words").alias("words")))
+        rows = stored(_rows(reviews, id_col, text_col).withColumn("k1", F.xxhash64("words")).withColumn("k2", F.xxhash64(F.lit(7), "words")), "sets")
+        self.classes = stored(rows.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.min("words").alias("words")), "classes")
         self.members = rows.select("id", "same", "k1", "k2").join(self.classes.select("k1", "k2", "class"), ["k1", "k2"]).select("id", "same", "class")
-        self.links = durable(self._links())
+
+    def _similar(self, shared, size_a, size_b):
+        t = self.threshold
+        return shared * (t.numerator + t.denominator) >= (size_a + size_b) * t.numerator
+
+    @cached_property
+    def followers(self) -> DataFrame:
+        """(class, leader, size, n, less, more) of sets that follow a leader, of n words, with what they have less and more; of leaders too."""
+        key = F.xxhash64(F.get("words", F.lit(0)), F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
+        keyed = self.classes.select("class", key.alias("key"), "words")
+        firsts = keyed.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        firsts = stored(firsts, "leaders")
+        whole = self.classes.join(sized(firsts.select(F.col("leader").alias("class"), "key", "n")), "class").select("key", "n", F.col("class").alias("leader"), F.col("words").alias("whole"))
+        both = join_groups(keyed, stored(whole, "leaders"), "key")
+        both = both.select("class", "leader", F.size("words").alias("size"), F.size("whole").alias("n"), F.array_except("whole", "words").alias("less"), F.array_except("words", "whole").alias("more"))
+        close = (F.size("less") + F.size("more") <= self.apart) & self._similar(F.col("n") - F.size("less"), F.col("size"), F.col("n"))
+        near = stored(both.where(close), "followers")
+        led = near.where("class <> leader").select("leader").distinct()
+        return near.join(sized(led), "leader", "left_semi")
 
     def candidates(self) -> DataFrame:
-        """(a, b): pairs of classes that no bound rules out."""
-        listed = self.classes.select("class", "words").mapInArrow(_list_rows(word_order(self.classes), self.threshold, self.longest), LISTED)
+        """(a, b): pairs of classes without a leader, or of leaders, that no bound rules out for them or their followers."""
+        led = self.followers.where("class <> leader")
+        slacks = durable(self.followers.groupBy("leader").agg(F.max(F.size("less") + F.size("more")).alias("slack")))
+        most = slacks.agg(F.max("slack")).first()[0] or 0
+        searched = self.classes.join(sized(led.select("class")), "class", "left_anti").join(sized(slacks.withColumnRenamed("leader", "class")), "class", "left")
+        searched = searched.select("class", "words", F.coalesce("slack", F.lit(0)).alias("slack"))
+        listed = searched.mapInArrow(_list_rows(word_order(self.classes), self.threshold, self.longest, most), LISTED)
         key = ["word", "first", "second"]
-        return listed.repartition(*key).sortWithinPartitions(*key, "size", "pos").mapInArrow(_candidates(self.threshold), "a bigint, b bigint").distinct()
-
-    def _links(self) -> DataFrame:
-        """Exact comparison of the candidates.
-
-        Every set has a leader, its smallest candidate partner or itself, and is compared with that one only; what it
-        has less and more is kept. For two sets under one leader the answer follows from these short differences:
-        shared = leader - |less of one or the other| + |more of both|. Only pairs under two leaders are compared whole.
-        """
-        sets = self.classes.select("class", "words")
-        pairs = durable(self.candidates())
-        ends = pairs.select(F.col("b").alias("id"), F.col("a").alias("leader")).unionByName(pairs.select(F.col("a").alias("id"), F.col("a").alias("leader")))
-        nodes = durable(ends.groupBy("id").agg(F.min("leader").alias("leader")))
-        own = durable(sets.join(sized(nodes), sets["class"] == nodes["id"]).select("id", "leader", "words"))
-        leaders = nodes.select(F.col("leader").alias("id")).distinct()
-        led = own.join(sized(leaders), "id", "left_semi").select(F.col("id").alias("leader"), F.col("words").alias("whole"))
-        apart = durable(own.join(led, "leader").select("id", "leader", F.size("words").alias("size"), F.size("whole").alias("n"), F.array_except("whole", "words").alias("less"), F.array_except("words", "whole").alias("more")))
-        a, b = (apart.select(*(F.col(c).alias(f"{c}_{e}") for c in apart.columns)) for e in "ab")
-        both = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
-        derived = F.col("n_a") - F.size(F.array_union("less_a", "less_b")) + F.size(F.array_intersect("more_a", "more_b"))
-        one = both.where("leader_a = leader_b").select("a", "b", derived.alias("shared"), "size_a", "size_b")
-        two = both.where("leader_a <> leader_b").select("a", "b", "size_a", "size_b")
-        two = two.join(own.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(own.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-        found = one.unionByName(two.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("shared"), "size_a", "size_b"))
-        t = self.threshold
-        return found.where(F.col("shared") * (t.numerator + t.denominator) >= (F.col("size_a") + F.col("size_b")) * t.numerator)
+        return listed.repartition(*key).sortWithinPartitions(*key, "size", "pos").mapInArrow(_candidates(self.threshold, most), "a bigint, b bigint").distinct()
+
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, ...) with shared, size_a and size_b, from the whole sets."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        sets = self.classes.join(sized(ends), "class", "left_semi")
+        a, b = (sets.select(F.col("class").alias(e), F.col("words").alias(f"w{e}")) for e in "ab")
+        return pairs.join(a, "a").join(b, "b").select(*pairs.columns, F.size(F.array_intersect("wa", "wb")).alias("shared"), F.size("wa").alias("size_a"), F.size("wb").alias("size_b"))
+
+    @cached_property
+    def leader_pairs(self) -> DataFrame:
+        """(a, b, shared, size_a, size_b) of all candidates."""
+        return stored(self._compared(stored(self.candidates(), "candidates")), "compared")
+
+    def _derived(self, pairs: DataFrame) -> DataFrame:
+        """(a, b): similar pairs among leaders and followers of the given leader pairs, each leader among its followers."""
+        none = F.lit(0)
+        sides = {}
+        for e in "ab":
+            sides[e] = self.followers.select(F.col("leader").alias(e), F.col("class").alias(f"c{e}"), F.col("size").alias(f"s{e}"), F.size("less").alias(f"l{e}"), F.size("more").alias(f"m{e}"))
+        both = pairs.join(sized(sides["a"]), "a", "left").join(sized(sides["b"]), "b", "left")
+        both = both.select("shared", *(F.coalesce(f"c{e}", e).alias(f"c{e}") for e in "ab"), *(F.coalesce(f"s{e}", f"size_{e}").alias(f"s{e}") for e in "ab"), *(F.coalesce(f"{x}{e}", none).alias(f"{x}{e}") for x in "lm" for e in "ab"))
+        sure = self._similar(F.col("shared") - F.col("la") - F.col("lb"), F.col("sa"), F.col("sb"))
+        maybe = self._similar(F.col("shared") + F.col("ma") + F.col("mb"), F.col("sa"), F.col("sb")) & ~sure
+        ends = F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")
+        compared = self._compared(stored(both.where(maybe).select(*ends), "undecided"))
+        return both.where(sure).select(*ends).unionByName(compared.where(self._similar(F.col("shared"), F.col("size_a"), F.col("size_b"))).select("a", "b"))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """Every similar pair of classes."""
+        a, b = (self.followers.select("leader", *(F.col(c).alias(f"{c}_{e}") for c in ("class", "size", "less", "more", "n"))) for e in "ab")
+        one = a.join(b, "leader").where("class_a < class_b")
+        shared = F.col("n_a") - F.size(F.array_union("less_a", "less_b")) + F.size(F.array_intersect("more_a", "more_b"))
+        one = one.where(self._similar(shared, F.col("size_a"), F.col("size_b"))).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+        return stored(self._derived(self.leader_pairs).unionByName(one), "links")
 
     def pairs(self) -> DataFrame:
         """(a, b): all pairs of ids of similar texts, a the smaller, that aren't the same text but for formatting."""
-        members = durable(self.members)
+        members = stored(self.members, "members")
         kinds = members.select("class", "same").distinct()
         several = kinds.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class")
         one, two = kinds.select(F.col("class").alias("a"), F.col("same").alias("same_a")), kinds.select(F.col("class").alias("b"), F.col("same").alias("same_b"))
@@ -229,12 +274,15 @@ class Similar:
         return ids.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def groups(self) -> DataFrame:
-        """(id, class, links, grp): every id with a word, its class, the class's links, and the smallest class it is joined with by links."""
-        ends = self.links.select(F.col("a").alias("class")).unionByName(self.links.select(F.col("b").alias("class")))
-        degree = ends.groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-        roots = connected(self.links.select("a", "b"))
-        named = self.members.join(degree, "class", "left").join(roots, "class", "left")
-        return named.select("id", "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "class").alias("grp"))
+        """(id, class, grp): every id with a word, its class, and the smallest class that a chain of links joins it with.
+
+        Links within the followers of a leader aren't made: each has one with the leader. Followers are only looked at
+        where their leaders aren't similar but may have followers that are.
+        """
+        linked = self._similar(F.col("shared"), F.col("size_a"), F.col("size_b"))
+        star = self.followers.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b"))
+        edges = self.leader_pairs.where(linked).select("a", "b").unionByName(self._derived(self.leader_pairs.where(~linked))).unionByName(star)
+        return self.members.join(connected(edges), "class", "left").select("id", "class", F.coalesce("root", "class").alias("grp"))
 
 
 def connected(edges: DataFrame) -> DataFrame:

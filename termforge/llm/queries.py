@@ -136,6 +136,9 @@ SELECT rid, word, coalesce(degree, 0) AS degree, round(coalesce(degree, 0) * ln(
         "p3_found": texts + "SELECT a AS review_id_a, review_id AS review_id_b FROM k JOIN g USING (k) WHERE review_id <> a",
         "p3_collapsed": texts + "SELECT a AS review_id, copies FROM g UNION ALL SELECT review_id, CAST(1 AS BIGINT) FROM k WHERE coalesce(k, '') = ''",
         "p6_found": texts + "SELECT a AS review_id_a, b AS review_id_b FROM c JOIN n AS x ON x.review_id = a JOIN n AS y ON y.review_id = b JOIN k AS i ON i.review_id = a JOIN k AS j ON j.review_id = b WHERE c * 17 >= (x.n + y.n) * 7 AND i.k <> j.k",
+        "p6_groups": texts.replace("WITH t", "WITH RECURSIVE t", 1) + """, j AS (SELECT a, b FROM c JOIN n AS x ON x.review_id = a JOIN n AS y ON y.review_id = b WHERE c * 17 >= (x.n + y.n) * 7), h AS (SELECT a, b FROM j UNION SELECT b, a FROM j),
+r AS (SELECT review_id AS id, review_id AS root FROM n UNION SELECT h.b, r.root FROM r JOIN h ON h.a = r.id), q AS (SELECT review_id AS id, string_agg(word, ' ' ORDER BY word) AS words FROM w GROUP BY review_id)
+SELECT q.id, min(q.id) OVER (PARTITION BY words) AS class, g.grp FROM q JOIN (SELECT id, min(root) AS grp FROM r GROUP BY id) AS g USING (id)""",
         "p5_marks": counts + " SELECT word, mentions, reviews, mark FROM marked",
         "p5_found": counts + " SELECT word, mark FROM marked WHERE mark IS NOT NULL",
     }

@@ -9,6 +9,7 @@ import regex
 from pyspark.sql import functions as F
 
 from conftest import DATA, rows
+from termforge import session
 from termforge.llm import format_duplicates, near_duplicates
 from termforge.llm.canonical import canonical_text, words
 
@@ -79,8 +80,7 @@ def test_filter_in_ranges(spark, monkeypatch):
     """Many blocks, a few of which are broadcast at a time; groups that are too many to broadcast but for the hot ones."""
     monkeypatch.setattr(format_duplicates, "TEXT_BITS", 1 << 16)
     monkeypatch.setattr(format_duplicates, "FILTER_BYTES", 1 << 20)
-    monkeypatch.setattr(format_duplicates, "is_small", lambda df: False)
-    monkeypatch.setattr(format_duplicates, "HOT_SHARE", 0.1)
+    monkeypatch.setattr(session, "is_small", lambda df: False)
     pairs = [(i, f"text {i % 200 if i < 250 else 'hot' if i < 300 else i}") for i in range(400)]
     assert format_duplicates.block_number(400) == 13
     want = sorted(((min(g), i) for g in copies_of(pairs).values() for i in g if i != min(g)), key=repr)
@@ -121,12 +121,14 @@ def noisy(seed, n=250, vocabulary=400):
     return pairs + [(i, t.upper()) for i, t in pairs[:20]] + [(n, None), (n + 1, ""), (n + 2, "!?"), (None, "w1 w2"), (n + 3, "w1w2"), (n + 4, "w1 w2"), *((n + 10 + k, "hot words here") for k in range(40)), (n + 60, "here hot words")]
 
 
-@pytest.mark.parametrize("longest", [16384, 20])
-def test_similar_pairs(spark, longest):
-    """Also with lists cut into parts of 20 sets."""
-    pairs = noisy(longest)
+@pytest.mark.parametrize(("longest", "apart", "known"), [(16384, 1, 1 << 20), (20, 3, 64), (16384, 0, 1 << 20)])
+def test_similar_pairs(spark, longest, apart, known, monkeypatch):
+    """Also with lists cut into parts of 20 sets, counts of a few words only, and leaders of sets of three words' difference, or none."""
+    monkeypatch.setattr(near_duplicates, "ORDERED_WORDS", known)
+    pairs = noisy(longest + apart)
     want, sets = similar(pairs)
-    found = near_duplicates.Similar(table(spark, pairs), 0.7, longest=longest)
+    found = near_duplicates.Similar(table(spark, pairs), 0.7, longest=longest, apart=apart)
+    assert (found.followers.count() > 0) == (apart > 0)
     assert rows(found.pairs()) == sorted(want, key=repr) and len(want) > 100
     # groups: the components of all pairs of equal or similar sets
     root = {i: i for i in sets}
