@@ -231,7 +231,7 @@ def distinctive_words(postings: DataFrame, tombstones: DataFrame, min_freq: int
     """
     valid = valid_postings(postings, tombstones)
     rows = postings.select("rid").where("rid IS NOT NULL")
-    share = min(HEAVY_REVIEW, max(LEAST_SHARE, HEAVY_ROWS / max(1, rows.count())))
+    share = min(HEAVY_REVIEW, max(LEAST_SHARE, HEAVY_ROWS / max(1, postings.count())))
     heavy = heavy_keys(rows, "rid", share)
     if heavy.isEmpty():
         parts = stored(review_parts(valid, window, min_freq), "parts")

@@ -22,7 +22,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive.distinctive_words(*_index(spark, sf_dir), best_first=True).select("rid", "word", "degree", F.round("score", 6).alias("score"))
+    return distinctive.distinctive_words(*_index(spark, sf_dir), best_first=True).select("rid", "word", "degree", (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"))
 
 
 def p1_text_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ c AS (SELECT a.review_id AS a, b.review_id AS b, count(*) AS c FROM w AS a JOIN
     scores = f"""WITH {LIVE_SQL}, l AS (SELECT rid, sum(freq) AS length, count(*) AS n FROM live GROUP BY rid), c AS (SELECT word, count(*) AS reviews FROM live GROUP BY word),
 x AS (SELECT rid, word, CASE WHEN length > {distinctive.SCALE} * n THEN greatest(1, CAST(floor(freq * (CAST({distinctive.SCALE} * n AS DOUBLE) / CAST(length AS DOUBLE))) AS BIGINT)) ELSE freq END AS f, CAST((CAST('0x' || substr(md5(word), 1, 5) AS BIGINT) + (rid % {distinctive.PHASES} + {distinctive.PHASES}) % {distinctive.PHASES} * 40503) % {distinctive.PHASES} AS DOUBLE) / CAST({distinctive.PHASES} AS DOUBLE) AS u FROM live JOIN l USING (rid)),
 m AS (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY (k + u) / f, word) AS at FROM (SELECT rid, word, f, u, unnest(range(f)) AS k FROM x)), {edges.format('rid', near)}
-SELECT rid, word, coalesce(degree, 0) AS degree, round(coalesce(degree, 0) * ln(1 + (SELECT count(*) FROM l) / reviews), 6) AS score FROM live JOIN c USING (word) LEFT JOIN e USING (rid, word)"""
+SELECT rid, word, coalesce(degree, 0) AS degree, floor(coalesce(degree, 0) * ln(1 + (SELECT count(*) FROM l) / reviews) * 1e6 + 0.5) / 1e6 AS score FROM live JOIN c USING (word) LEFT JOIN e USING (rid, word)"""
     grams = " UNION ALL ".join(f"SELECT {n} AS n, w1, {'w2' if n > 1 else 'NULL AS w2'}, {'w3' if n > 2 else 'NULL AS w3'}, review_id FROM g WHERE w{n} IS NOT NULL" for n in (1, 2, 3))
     return {
         "p1_scores": scores,
