@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termforge.llm.canonical import canonical_text, words
+from termforge.llm.canonical import canonical_text, word_runs
 from termforge.session import durable, join_groups, sized, stored
 
 #: Frequent words whose order is by their counts; all others are at most as frequent as the last of these, and come first, in order of hash.
@@ -36,10 +36,11 @@ APART = 1
 
 def _rows(reviews: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, same, words): one row for each id with a text with words; same: hash of the canonical text; words: sorted hashes"""
-    text = F.col(text_col)
-    hashed = F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w))))
-    rows = reviews.where(text.isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.unhex(F.md5(canonical_text(text))).alias("same"), hashed.alias("words"))
-    rows = rows.where(F.col("id").isNotNull() & (F.size("words") > 0))
+    texts = reviews.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    texts = texts.select("id", "text", word_runs(F.col("text")).alias("runs"))
+    hashed = F.sort_array(F.array_distinct(F.transform("runs", lambda w: F.xxhash64(w))))
+    rows = texts.select("id", F.unhex(F.md5(canonical_text(F.col("text"), F.col("runs")))).alias("same"), hashed.alias("words"))
+    rows = rows.where(F.size("words") > 0)
     return rows.groupBy("id").agg(F.min(F.struct("same", "words")).alias("r")).select("id", "r.same", "r.words")
 
 
@@ -103,6 +104,7 @@ def _pairs_of_list(rows: dict[str, np.ndarray], num: int, den: int, most_slack:
     left = size - pos  # words from this one on
     # the largest set that this one, with so few words left, can be similar to
     bound = (left + slack + most_slack) * (num + den) // num - size + slack + most_slack
+    folded = np.bitwise_or.reduce(sig, 0)  # all words of a set in 64 bits, which tell more than a part of the signature
     starts = np.arange(0, n, ROWS)
     most_bound = np.maximum.reduceat(bound, starts)
     least, most = size[starts], size[np.minimum(starts + ROWS, n) - 1]
@@ -115,14 +117,16 @@ def _pairs_of_list(rows: dict[str, np.ndarray], num: int, den: int, most_slack:
                 continue
             c, d = starts[y], min(starts[y] + ROWS, n)
             i, j = a + np.flatnonzero(bound[a:b] >= least[y]), c + np.flatnonzero(bound[c:d] >= least[x])
+            if not len(i) or not len(j):
+                continue
             both = most[x] + most[y]
             allowed = both - 2 * (-(-num * (both - 2 * most_slack) // (num + den)) - 2 * most_slack) + 1
-            apart = np.bitwise_count(sig[0, i][:, None] ^ sig[0, j])
-            if most[y] > 64:
-                for k in range(1, SIGNATURE):
-                    apart = apart + np.bitwise_count(sig[k, i][:, None] ^ sig[k, j])
-            p, q = np.nonzero(apart <= allowed)
-            i, j = i[p], j[q]
+            if most[y] <= 64:
+                apart = np.bitwise_count(folded[i][:, None] ^ folded[j])
+            else:
+                apart = sum(np.bitwise_count(sig[k, i][:, None] ^ sig[k, j]).astype(np.uint16) for k in range(SIGNATURE))
+            hit = np.flatnonzero(apart <= allowed)
+            i, j = i[hit // len(j)], j[hit % len(j)]
             near = i < j
             if cross:
                 near &= rows["mine"][i] != rows["mine"][j]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.llm import distinctive, format_duplicates, near_duplicates, packing, splitting, suffix_counts, tokenizer
-from termforge.llm.canonical import LABEL, NO_LETTER, NOT_BLANK, SECTION_END, WORD
+from termforge.llm.canonical import LABEL, NO_LETTER, NOT_BLANK, SECTION_END, WORD, word_runs
 from termforge.plans.problems import LIVE_SQL
 from termforge.session import stored, table
 
@@ -18,7 +18,7 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(review_id, words): each review once, with its words in order."""
     texts = table(spark, sf_dir, "reviews").where("review_id IS NOT NULL").select("review_id", "text").distinct()
-    return texts.select("review_id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
+    return texts.select("review_id", word_runs(F.col("text")).alias("words"))
 
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
