@@ -71,10 +71,10 @@ class _Writer:
         else:
             rows = running(reviews.select("seq", *FIELDS), ["seq"], number="_n").select((F.col("_n") + manifest.next_rid).alias("rid"), *FIELDS)
         good = F.col("score").isNotNull() & F.col("helpfulness_num").isNotNull() & F.col("helpfulness_den").isNotNull()
-        most, least, malformed, number = rows.agg(F.max("rid"), F.min("rid"), F.count_if(~good), F.count("rid")).first()
+        most, least, malformed, number, every = rows.agg(F.max("rid"), F.min("rid"), F.count_if(~good), F.count("rid"), F.count(F.lit(1))).first()
         # bit maps of rids tell whether they differ; a map of some KB is all that a task sends for each range of rids
         maps = rows.groupBy(F.bitmap_bucket_number("rid")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("rid"))).alias("n"))
-        if number < rows.count() or (number and (least < manifest.next_rid or maps.agg(F.sum("n")).first()[0] < number)):
+        if number < every or (number and (least < manifest.next_rid or maps.agg(F.sum("n")).first()[0] < number)):
             raise ValueError("rids must be new and different")
         return rows.where(good), (most or manifest.next_rid - 1) + 1, malformed
 
