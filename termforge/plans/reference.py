@@ -20,7 +20,7 @@ from termforge.session import durable, sized, spread, table, work_path
 #: Rows of a flush, and inserts after the first build, in the lifecycle queries; rids of a block in varint_roundtrip.
 CAPACITY, INSERTS, RID_BLOCK = 20_000, 4, 512
 #: Inserts and rows of a flush in the workload query.
-STEPS, STEP_CAPACITY = 2, 8192
+STEPS, STEP_CAPACITY = 1, 8192
 
 
 def reviews(spark: SparkSession, d: str) -> DataFrame:
