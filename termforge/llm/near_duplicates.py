@@ -28,8 +28,12 @@ from termforge.session import durable, join_groups, sized, stored
 #: Frequent words whose order is by their counts; all others are at most as frequent as the last of these, and come first, in order of hash.
 ORDERED_WORDS = 1 << 20
 #: Rows of one list that a task holds, and rows of a block of it.
-LIST, ROWS = 16384, 256
+LIST, ROWS = 1 << 18, 256
 SIGNATURE = 4
+#: Numbers of equal parts of the signature, one of which two sets have in common if they differ in fewer words.
+CHUNKS = (4, 8, 16)
+#: Words that a band of sets in a list is wide; sets that make sorting by parts worth while; pairs that are looked at together; how much dearer a pair found by sorting is than one of a block.
+BAND, SORTED, PAIRS, DEARER = 2, 400, 1 << 18, 24
 #: Words in which a set may differ from its leader.
 APART = 1
 
@@ -51,15 +55,33 @@ def word_order(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return top["w"].to_numpy()[order].astype(np.int64), top["count"].to_numpy()[order].astype(np.int64)
 
 
-LISTED = "word bigint, first int, second int, size int, pos int, slack int, id bigint, mine int, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+LISTED = "list bigint, place bigint, kind int, id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 
 
-def _list_rows(order: tuple[np.ndarray, np.ndarray], threshold: Fraction, longest: int, slack: int):
-    """Rows (class, words, slack) to LISTED; slack: the most words in which followers, of this set or any, differ from it."""
+def _size_range(size: np.ndarray) -> np.ndarray:
+    """Number of the range of sizes, four from each power of two to the next, that a size falls in."""
+    power = np.frexp(size.astype(np.float64))[1].astype(np.int64)
+    return power * 4 + (size * 8 >> power) - 4
+
+
+def _largest(size: np.ndarray, pos: np.ndarray, slack: np.ndarray, num: int, den: int, most_slack: int) -> np.ndarray:
+    """The largest set that one of that size, with no word shared before that position, can be similar to."""
+    return (size - pos + slack + most_slack) * (num + den) // num - size + slack + most_slack
+
+
+def _list_rows(order: tuple[np.ndarray, np.ndarray], sizes: dict[int, int], threshold: Fraction, longest: int, slack: int):
+    """Rows (class, words, slack) to LISTED; slack: the most words in which followers, of this set or any, differ from it.
+
+    sizes: sets of each size. list: a hash of word, range of sizes and parts. The signature of a row is that of the list's word and those after it. place: its size
+    and position; kind: its slack, its side in a list of two parts (else 0), and whether the list is the one of its own
+    size: in those of larger sizes it only meets larger sets.
+    """
     known, counts = order
     unknown = int(counts.min()) if len(counts) == ORDERED_WORDS else 0  # no other word has more
     num, den = threshold.numerator, threshold.denominator
-    schema = pa.schema([("word", pa.int64()), ("first", pa.int32()), ("second", pa.int32()), ("size", pa.int32()), ("pos", pa.int32()), ("slack", pa.int32()), ("id", pa.int64()), ("mine", pa.int32()), *((f"s{k}", pa.int64()) for k in range(SIGNATURE))])
+    held = np.bincount(_size_range(np.array(list(sizes), np.int64)), [n * k for n, k in sizes.items()], 256) if sizes else np.zeros(256)
+    share = held / max(held.sum(), 1)  # of all words in sets, those of each range
+    schema = pa.schema([("list", pa.int64()), ("place", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), *((f"s{k}", pa.int64()) for k in range(SIGNATURE))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,70 +96,173 @@ def _list_rows(order: tuple[np.ndarray, np.ndarray], threshold: Fraction, longes
             row = np.repeat(np.arange(len(ids)), size)
             at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
             count = np.where(known[at] == flat, counts[at], 0) if len(known) else np.zeros(len(flat), np.int64)
-            bit = (flat.view(np.uint64) >> np.uint64(56)) % np.uint64(64 * SIGNATURE)
-            signature = [np.bitwise_or.reduceat(np.where(bit // 64 == k, np.uint64(1) << (bit % np.uint64(64)), np.uint64(0)), begin).view(np.int64) for k in range(SIGNATURE)]
             sort = np.lexsort((flat, count, row))
+            flat, count = flat[sort], count[sort]
             pos = np.arange(len(flat)) - begin[row]
-            prefix = size - (-(-(size - own_slack) * num // den) - own_slack - slack) + 1
+            prefix = np.minimum(size, size - (-(-(size - own_slack) * num // den) - own_slack - slack) + 1)
             keep = pos < prefix[row]
-            word, count, owner, pos = flat[sort][keep], count[sort][keep], row[keep], pos[keep]
-            # a word of more than that many sets: its sets are dealt to parts, and every pair of parts is a list
-            parts = np.maximum(1, -(-np.where(count > 0, count, unknown) // longest))
-            mine = (np.mod(ids[owner] * np.int64(-7046029254386353131), np.int64(1) << 40) >> 8) % parts
-            again = np.repeat(np.arange(len(word)), parts)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-            own = mine[again]
-            out = [word[again], np.minimum(own, other), np.maximum(own, other), size[owner][again], pos[again], own_slack[owner][again], ids[owner][again], own, *(s[owner][again] for s in signature)]
+            bit = ((flat.view(np.uint64) >> np.uint64(56)) % np.uint64(64 * SIGNATURE)).astype(np.int64)
+            signature = np.zeros((SIGNATURE, len(flat)), np.uint64)
+            signature[bit // 64, np.arange(len(flat))] = np.uint64(1) << (bit % 64).astype(np.uint64)
+            tail = np.bitwise_or.reduceat(np.where(keep, np.uint64(0), signature), begin, axis=1)
+            by_prefix = np.argsort(-prefix, kind="stable")
+            reach = np.searchsorted(-prefix[by_prefix], -np.arange(int(prefix.max())), "left")  # rows with a prefix beyond each position
+            for p in range(int(prefix.max()) - 1, -1, -1):
+                r = by_prefix[: reach[p]]
+                tail[:, r] |= signature[:, begin[r] + p]
+                signature[:, begin[r] + p] = tail[:, r]
+            word, count, owner, pos, signature = flat[keep], count[keep], row[keep], pos[keep], signature[:, keep]
+            # a word of more than that many sets has a list for each range of sizes; a set enters those of its own and of larger ones that may be similar
+            long = np.where(count > 0, count, unknown) > longest
+            low = _size_range(size[owner])
+            most = _largest(size[owner], pos, own_slack[owner], num, den, slack)
+            ranges = np.where(long, np.maximum(_size_range(np.maximum(most, 1)) - low, 0) + 1, 1)
+            again = np.repeat(np.arange(len(word)), ranges)
+            away = np.arange(len(again)) - np.repeat(np.cumsum(ranges) - ranges, ranges)
+            reached = low[again] + away
+            name = word[again] + np.where(long[again], reached + 1, 0) * np.int64(-7046029254386353131)
+            # where these are too long still, sets are dealt to parts, and every pair of parts is a list
+            in_range = np.where(long, np.where(count > 0, count, unknown), 0)[again] * share[np.minimum(reached, 255)]
+            parts = np.maximum(1, np.ceil(in_range / longest)).astype(np.int64)
+            mine = (np.mod(ids[owner][again] * np.int64(-7046029254386353131), np.int64(1) << 40) >> 8) % parts
+            deal = np.repeat(np.arange(len(again)), parts)
+            other = np.arange(len(deal)) - np.repeat(np.cumsum(parts) - parts, parts)
+            own, again = mine[deal], again[deal]
+            first, second = np.minimum(own, other), np.maximum(own, other)
+            name = name[deal] + first * np.int64(-4417276706812531889) + second * np.int64(1609587929392839161)
+            side = np.where(first == second, 0, 1 + (own == second))
+            kind = own_slack[owner][again] << 3 | side << 1 | (away[deal] == 0)
+            out = [name, size[owner][again] << 32 | pos[again], kind, ids[owner][again], *(s[again].view(np.int64) for s in signature)]
             yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
+def _spans(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each place with all numbers from its low to before its high, some at a time."""
+    n = high - low
+    total = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        done = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        yield np.repeat(np.arange(a, b), n[a:b]), np.arange(total[b - 1] - done) + np.repeat(low[a:b] - (total[a:b] - n[a:b] - done), n[a:b])
+        a = b
+
+
+def _chunk_keys(sig: np.ndarray, c: int, chunks: int) -> np.ndarray:
+    """Part c of signatures, or a hash of it, in the upper 48 bits."""
+    bits = 64 * SIGNATURE // chunks
+    part = (sig[c * bits // 64] >> np.uint64(c * bits % 64)) << np.uint64(64 - bits)
+    return (part * np.uint64(0x9E3779B97F4A7C15) if bits > 48 else part) >> np.uint64(16) << np.uint64(16)
+
+
 def _pairs_of_list(rows: dict[str, np.ndarray], num: int, den: int, most_slack: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of pairs that may be similar, or have followers that are; rows are in order of size and position.
 
     With a threshold of num/den, sets of a and b words must share ceil(num (a + b) / (num + den)) of them; followers have
-    at least slack words less, and share at most slack more, than their leader.
+    at least slack words less, and share at most slack more, than their leader. The list's word is taken to be the first
+    that two sets share: words before it are all different, and only the rest of what may differ is left for those after
+    it. ``spare`` is a set's part of that rest, times num + den: no pair differs in more words than both their parts, nor
+    do the numbers of words that are left. Sets are dealt to bands of spare, and those of a band meet the sets of no
+    higher band: where a pair differs in fewer words than CHUNKS, by sorted parts of the signature, one of which must be
+    equal; otherwise, or where these are few, in blocks.
     """
-    size, pos, sig, slack = rows["size"], rows["pos"], rows["sig"], rows["slack"]
-    n, cross = len(size), rows["first"] != rows["second"]
+    size, pos, sig, slack, home = rows["size"], rows["pos"], rows["sig"], rows["slack"], rows["home"]
+    parted, unit = rows["side"].any(), num + den
+    spare = size * (den - num) + 2 * slack * (2 * num + den) - pos * unit
     left = size - pos  # words from this one on
-    # the largest set that this one, with so few words left, can be similar to
-    bound = (left + slack + most_slack) * (num + den) // num - size + slack + most_slack
+    bound = _largest(size, pos, slack, num, den, most_slack)
     folded = np.bitwise_or.reduce(sig, 0)  # all words of a set in 64 bits, which tell more than a part of the signature
-    starts = np.arange(0, n, ROWS)
-    most_bound = np.maximum.reduceat(bound, starts)
-    least, most = size[starts], size[np.minimum(starts + ROWS, n) - 1]
+    halves = sig[0] | sig[1], sig[2] | sig[3]
     found = [[], []]
-    for x, a in enumerate(starts):
-        b = min(a + ROWS, n)
-        reach = np.searchsorted(size, (most[x] * den + most_slack * (num + den)) // num, "right")
-        for y in range(x, -(-reach // ROWS)):
-            if most_bound[x] < least[y] or most_bound[y] < least[x]:
-                continue
-            c, d = starts[y], min(starts[y] + ROWS, n)
-            i, j = a + np.flatnonzero(bound[a:b] >= least[y]), c + np.flatnonzero(bound[c:d] >= least[x])
-            if not len(i) or not len(j):
-                continue
-            both = most[x] + most[y]
-            allowed = both - 2 * (-(-num * (both - 2 * most_slack) // (num + den)) - 2 * most_slack) + 1
-            if most[y] <= 64:
-                apart = np.bitwise_count(folded[i][:, None] ^ folded[j])
-            else:
-                apart = sum(np.bitwise_count(sig[k, i][:, None] ^ sig[k, j]).astype(np.uint16) for k in range(SIGNATURE))
-            hit = np.flatnonzero(apart <= allowed)
-            i, j = i[hit // len(j)], j[hit % len(j)]
-            near = i < j
-            if cross:
-                near &= rows["mine"][i] != rows["mine"][j]
-            i, j = i[near], j[near]
-            total, less = size[i] + size[j], slack[i] + slack[j]
-            need = -(-num * (total - less) // (num + den)) - less
-            near = (np.minimum(left[i], left[j]) >= need) & (size[j] * num <= size[i] * den + less * (num + den))
-            i, j, total, need = i[near], j[near], total[near], need[near]
-            near = np.bitwise_count(sig[:, i] ^ sig[:, j]).astype(np.int64).sum(0) <= total - 2 * need
-            found[0].append(i[near])
-            found[1].append(j[near])
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        near = (i < j) & (home[j] != 0)
+        if parted:
+            near &= (rows["side"][i] == 0) | (rows["side"][i] != rows["side"][j])
+        i, j = i[near], j[near]
+        total, less = size[i] + size[j], slack[i] + slack[j]
+        need = -(-num * (total - less) // unit) - less
+        near = (np.minimum(left[i], left[j]) >= need) & (size[j] * num <= size[i] * den + less * unit)
+        i, j, most = i[near], j[near], (total - 2 * need)[near]
+        near = np.bitwise_count(sig[:, i] ^ sig[:, j]).astype(np.int64).sum(0) <= most - pos[i] - pos[j]
+        found[0].append(i[near])
+        found[1].append(j[near])
+
+    def by_chunks(x: np.ndarray, y: np.ndarray, chunks: int) -> bool:
+        """Pairs of x with y, which differ in fewer words than chunks; False if blocks are cheaper."""
+        sorted_keys, cost = [], 0
+        low_x, low_y = (np.minimum(left[v], 65000).astype(np.uint64) for v in (x, y))
+        for c in range(chunks):
+            key, ask = _chunk_keys(sig[:, y], c, chunks) | low_y, _chunk_keys(sig[:, x], c, chunks) | low_x
+            order = np.argsort(key)
+            key = key[order]
+            low = np.searchsorted(key, np.maximum(ask, np.uint64(chunks)) - np.uint64(chunks), "right")
+            high = np.searchsorted(key, ask + np.uint64(chunks), "left")
+            cost += int((high - low).sum())
+            if cost * DEARER > len(x) * len(y):
+                return False
+            sorted_keys.append((y[order], low, high))
+        for ordered, low, high in sorted_keys:
+            hers = folded[ordered]
+            for i, j in _spans(low, high):
+                near = np.flatnonzero(np.bitwise_count(folded[x[i]] ^ hers[j]) < chunks)
+                i, j = x[i[near]], ordered[j[near]]
+                near = (spare[i] + spare[j] >= 0) & ((band[j] < band[i]) | (j > i))
+                keep(i[near], j[near])
+        return True
+
+    def by_blocks(x: np.ndarray, y: np.ndarray) -> None:
+        """Pairs of x with y, both in order of the words left."""
+        at = left[y]
+        apart = (int(spare[x].max()) + int(spare[y].max())) // unit
+        room, counted = np.empty((ROWS, 2 * ROWS), np.uint64), np.empty((2, ROWS, 2 * ROWS), np.uint8)
+        for a in range(0, len(x), ROWS):
+            i = x[a : a + ROWS]
+            j_all = y[np.searchsorted(at, left[i[0]] - apart, "left") : np.searchsorted(at, left[i[-1]] + apart, "right")]
+            most = int(spare[i].max())
+            j_all = j_all[(spare[j_all] + most >= 0) & (bound[j_all] >= size[i].min()) & (size[j_all] <= bound[i].max())]
+            for c in range(0, len(j_all), 2 * ROWS):
+                j = j_all[c : c + 2 * ROWS]
+                allowed = (most + int(spare[j].max())) // unit
+                words, part = int(left[j].max()), (slice(len(i)), slice(len(j)))
+                differ = counted[0][part]
+                if words <= 64 or words <= 128 and allowed < 4:
+                    np.bitwise_count(np.bitwise_xor(folded[i][:, None], folded[j], out=room[part]), out=differ)
+                elif words <= 192:
+                    for bits, to in zip(halves, counted, strict=True):
+                        np.bitwise_count(np.bitwise_xor(bits[i][:, None], bits[j], out=room[part]), out=to[part])
+                    differ += counted[1][part]
+                else:
+                    differ = sum(np.bitwise_count(sig[k, i][:, None] ^ sig[k, j]).astype(np.uint16) for k in range(SIGNATURE))
+                hit = np.flatnonzero(differ <= allowed)
+                found_at = np.divmod(hit, len(j))
+                u, v = i[found_at[0]], j[found_at[1]]
+                once = ((band[v] < band[u]) | (v > u)) & (differ[found_at].astype(np.int64) * unit <= spare[u] + spare[v])
+                keep(u[once], v[once])
+
+    order = np.argsort(left, kind="stable")
+    band = spare // (BAND * unit)
+    top = int(band.max())
+    if len(size) < SORTED:
+        band = np.zeros(len(size), np.int64)
+        by_blocks(order, order)
+        top = -1
+    for k in range(top, -1, -1):  # two sets below band 0 can't be similar
+        x = order[band[order] == k]
+        if not len(x):
+            continue
+        rest = order[(band[order] <= k) & (spare[order] >= -(k + 1) * BAND * unit)]
+        # a set of this band and one of band b differ in fewer than (k + b + 2) * BAND words
+        most = (band[rest] + k + 2) * BAND
+        below = 0
+        for chunks in (*CHUNKS, 0):
+            y = rest[(most > below) & (most <= chunks)] if chunks else rest[most > below]
+            if len(y) and not (chunks and len(x) * len(y) > SORTED**2 and by_chunks(x, y, chunks)):
+                by_blocks(x, y)
+            below = chunks
     return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
 
 
@@ -148,14 +273,15 @@ def _candidates(threshold: Fraction, most_slack: int):
     def work(batch: pa.Table) -> Iterator[pa.RecordBatch]:
         c = {k: batch.column(k).to_numpy() for k in batch.column_names}
         sig = np.stack([c[f"s{k}"].astype(np.int64).view(np.uint64) for k in range(SIGNATURE)])
-        change = np.any([np.diff(c[k], prepend=c[k][:1]) != 0 for k in ("word", "first", "second")], axis=0)
-        cuts = [0, *np.flatnonzero(change), batch.num_rows]
+        cuts = [0, *(np.flatnonzero(np.diff(c["list"])) + 1), batch.num_rows]
         pairs = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a > 1:
-                rows = {"size": c["size"][a:b].astype(np.int64), "pos": c["pos"][a:b].astype(np.int64), "slack": c["slack"][a:b].astype(np.int64), "mine": c["mine"][a:b], "sig": sig[:, a:b], "first": c["first"][a], "second": c["second"][a]}
+                order = a + np.argsort(c["place"][a:b], kind="stable")
+                place, kind = c["place"][order], c["kind"][order].astype(np.int64)
+                rows = {"size": place >> 32, "pos": place & 0xFFFFFFFF, "slack": kind >> 3, "side": kind >> 1 & 3, "home": kind & 1, "sig": sig[:, order]}
                 i, j = _pairs_of_list(rows, num, den, most_slack)
-                ids = c["id"][a:b]
+                ids = c["id"][order]
                 if len(i):
                     pairs.append(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
         if pairs:
@@ -167,10 +293,9 @@ def _candidates(threshold: Fraction, most_slack: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = [batch.column(k).to_numpy() for k in range(3)]
-            differs = np.any([x != x[-1] for x in key], axis=0)
-            last = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0  # the last list may go on
-            goes_on = kept and all(kept[-1].column(k)[0].as_py() == batch.column(k)[0].as_py() for k in range(3))
+            key = batch.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1], "left"))  # the last list may go on
+            goes_on = kept and kept[-1].column(0)[0].as_py() == key[0]
             if last or (kept and not goes_on):
                 yield from work(pa.Table.from_batches([*kept, batch.slice(0, last)]))
                 kept = []
@@ -224,9 +349,9 @@ class Similar:
         most = slacks.agg(F.max("slack")).first()[0] or 0
         searched = self.classes.join(sized(led.select("class")), "class", "left_anti").join(sized(slacks.withColumnRenamed("leader", "class")), "class", "left")
         searched = searched.select("class", "words", F.coalesce("slack", F.lit(0)).alias("slack"))
-        listed = searched.mapInArrow(_list_rows(word_order(self.classes), self.threshold, self.longest, most), LISTED)
-        key = ["word", "first", "second"]
-        return listed.repartition(*key).sortWithinPartitions(*key, "size", "pos").mapInArrow(_candidates(self.threshold, most), "a bigint, b bigint").distinct()
+        sizes = {r.n: r["count"] for r in self.classes.groupBy(F.size("words").alias("n")).count().collect()}
+        listed = searched.mapInArrow(_list_rows(word_order(self.classes), sizes, self.threshold, self.longest, most), LISTED)
+        return listed.repartition("list").sortWithinPartitions("list").mapInArrow(_candidates(self.threshold, most), "a bigint, b bigint").distinct()
 
     def _compared(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b, ...) with shared, size_a and size_b, from the whole sets."""

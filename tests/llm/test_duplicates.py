@@ -2,8 +2,10 @@
 
 import collections
 import random
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -147,6 +149,44 @@ def test_similar_pairs(spark, longest, apart, known, monkeypatch):
     assert got == {i: top(i) for i in sets}
 
 
+@pytest.mark.parametrize(("chunked", "longest"), [(True, 1 << 18), (True, 300), (False, 1 << 18)])
+def test_long_lists_of_frequent_words(chunked, longest, monkeypatch):
+    """Sets of a small vocabulary, so that lists hold most of them: found by parts of signatures, in ranges of sizes, and in blocks."""
+    looked = []
+    real = np.bitwise_count
+    monkeypatch.setattr(near_duplicates.np, "bitwise_count", lambda x, **k: looked.append(x.size) or real(x, **k))
+    monkeypatch.setattr(near_duplicates, "SORTED", 50 if chunked else 1 << 20)
+    rnd = random.Random(11)
+    rare, often, most = (range(k, k + n) for k, n in ((0, 3000), (3000, 120), (4000, 30)))
+    vocabulary = [*rare, *often, *most]
+    mixed = lambda n: rnd.sample(rare, n // 6) + rnd.sample(often, n // 3) + rnd.sample(most, min(30, n // 2))
+    sets = [mixed(rnd.choice([18, 36, 48, 66])) for _ in range(2500)]
+    for k in range(0, 2500, 5):  # and near ones
+        n = len(sets[k])
+        sets.append(sets[k][rnd.randint(0, n // 8) :] + mixed(rnd.randint(0, n // 8)))
+    classes = {k: frozenset(x) for k, x in enumerate(sets)}
+    counts = collections.Counter(w for x in classes.values() for w in x)
+    number = {w: rnd.getrandbits(63) - (1 << 62) for w in vocabulary}
+    known = sorted((number[w], n) for w, n in counts.items())
+    order = np.array([w for w, _ in known]), np.array([n for _, n in known])
+    threshold = Fraction(7, 10)
+    batch = pa.record_batch([pa.array(list(classes)), pa.array([[number[w] for w in x] for x in classes.values()]), pa.array([0] * len(classes), pa.int32())], names=["class", "words", "slack"])
+    sizes = collections.Counter(map(len, classes.values()))
+    listed = pa.Table.from_batches(near_duplicates._list_rows(order, sizes, threshold, longest, 0)(iter([batch]))).sort_by("list").combine_chunks()
+    got = set()
+    for b in near_duplicates._candidates(threshold, 0)(iter(listed.to_batches(max_chunksize=1000))):
+        got |= set(zip(*(b.column(k).to_pylist() for k in range(2)), strict=True))
+    held = np.zeros((len(sets), max(vocabulary) + 1), np.float32)
+    for k, x in classes.items():
+        held[k, list(x)] = 1
+    shared, n = held @ held.T, held.sum(1)
+    want = set(zip(*(x.tolist() for x in np.nonzero(np.triu(shared * 17 >= (n[:, None] + n) * 7, 1))), strict=True))
+    assert len(want) > 200 and want <= got and len(got) < 3 * len(want)
+    if chunked:  # a row of a list isn't compared with all others, nor is it in many lists
+        of_word = sum(n * n for n in counts.values())
+        assert sum(looked) < of_word / 100 and listed.num_rows < 15 * len(classes)
+
+
 def test_threshold_and_default(spark):
     pairs = noisy(9, 120)
     assert rows(near_duplicates.Similar(table(spark, pairs)).pairs()) == sorted(similar(pairs, (8, 10))[0], key=repr)
